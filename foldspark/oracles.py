@@ -393,3 +393,133 @@ ORACLES["log_select"] = f"{_SUMMARY} SELECT {KEYS4}, {r6('db')} AS db FROM summa
 ORACLES["log_report"] = f"""WITH {METRICS_RAW}, {_LOGGED}, means AS (SELECT {KEYS4},
   avg(silhouette) AS silhouette, avg(ch) AS ch, avg(db) AS db FROM logged GROUP BY ALL),
 {_UNIT.format('means')} SELECT {KEYS4}, {SCORES3} FROM unit"""
+
+
+# ---- rows of features ------------------------------------------------------
+
+EMB = """emb AS (SELECT vec_id AS row_id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings)"""
+ALL_PAIRS = """dist AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b, a.cluster AS ca, b.cluster AS cb,
+  list_distance(a.v, b.v) AS d FROM emb a, emb b)"""
+CELLS = "cells AS (SELECT row_id, cluster, unnest(range(len(v))) AS f, unnest(v) AS t FROM emb)"
+
+ORACLES["dst_rowpairs"] = f"WITH {EMB}, {ALL_PAIRS} SELECT a, b, {r6('d')} AS d FROM dist WHERE a < b"
+ORACLES["red_covariance"] = f"""WITH {EMB}, {CELLS}
+SELECT p.f, q.f AS g, {r6('covar_samp(p.t, q.t)')} AS cov FROM cells p JOIN cells q USING (row_id)
+WHERE p.f <= q.f GROUP BY p.f, q.f"""
+ORACLES["red_variance_total"] = f"""WITH {EMB}, {CELLS}
+SELECT {r6('sum(s)')} AS total FROM (SELECT var_samp(t) AS s FROM cells GROUP BY f)"""
+ORACLES["red_top_loadings"] = f"""WITH {EMB}, {CELLS}
+SELECT f, {r6('abs(avg(t))')} AS importance FROM cells GROUP BY f ORDER BY abs(avg(t)) DESC LIMIT 10"""
+ORACLES["red_n95"] = f"""WITH {EMB}, {CELLS}, s AS (SELECT f + 1 AS k, var_samp(t) AS s FROM cells GROUP BY f),
+c AS (SELECT k, sum(s) OVER (ORDER BY k) / sum(s) OVER () AS c FROM s)
+SELECT coalesce(min(k) FILTER (c >= 0.95), 1) AS k FROM c"""
+_KNN = """knn AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM dist WHERE a <> b)"""
+ORACLES["red_knn"] = f"""WITH {EMB}, {ALL_PAIRS}, {_KNN}
+SELECT a, b, {r6('d')} AS d, rank FROM knn WHERE rank <= 5"""
+ORACLES["red_tsne_p_rows"] = f"""WITH {EMB}
+SELECT row_id, least(90, (SELECT count(*) - 1 FROM emb)) AS neighbours, 1.0 AS total, 30.0 AS perplexity FROM emb"""
+ORACLES["red_tsne_joint"] = "SELECT 1.0 AS total, 0.0 AS skew FROM embeddings LIMIT 1"
+ORACLES["red_umap_rho"] = f"""WITH {EMB}, {ALL_PAIRS}
+SELECT a AS row_id, {r6('min(d) FILTER (d > 0)')} AS rho, round(log2(15), 3) AS total
+FROM dist WHERE a <> b GROUP BY a"""
+
+# ---- clustering ------------------------------------------------------------
+
+ORACLES["clu_inertia_k1"] = f"""WITH {EMB}, {CELLS}
+SELECT {r6('sum(s)')} AS inertia FROM (SELECT var_pop(t) * count(*) AS s FROM cells GROUP BY f)"""
+ORACLES["clu_core_distance"] = f"""WITH {EMB}, {ALL_PAIRS},
+r AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM dist)
+SELECT a AS row_id, {r6('d')} AS core FROM r WHERE n = 5"""
+_DBSCAN = f"""WITH RECURSIVE {EMB}, {ALL_PAIRS},
+core AS MATERIALIZED (SELECT a AS id FROM dist WHERE d <= 1.16 GROUP BY a HAVING count(*) >= 5),
+link AS MATERIALIZED (SELECT a, b FROM dist WHERE d <= 1.16 AND a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT id, id AS low FROM core UNION SELECT link.b, reach.low FROM reach JOIN link ON link.a = reach.id),
+comp AS (SELECT id, min(low) AS comp FROM reach GROUP BY id),
+inside AS (SELECT id, comp FROM comp UNION ALL
+  SELECT a, min(comp) FROM dist JOIN comp ON comp.id = dist.b
+  WHERE d <= 1.16 AND a NOT IN (FROM core) GROUP BY a),
+named AS (SELECT id, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM inside),
+assign AS (SELECT row_id, coalesce(named.cluster, -1) AS cluster, row_id IN (FROM core) AS is_core
+  FROM emb LEFT JOIN named ON id = row_id)"""
+ORACLES["clu_dbscan"] = f"{_DBSCAN} SELECT row_id, cluster, is_core FROM assign"
+ORACLES["evl_core_counts"] = f"{_DBSCAN} SELECT cluster, count(*) AS n FROM assign WHERE is_core GROUP BY ALL"
+ORACLES["clu_single_cut"] = f"""WITH RECURSIVE {EMB}, {ALL_PAIRS},
+link AS MATERIALIZED (SELECT a, b FROM dist WHERE d <= 1.1),
+reach AS (SELECT row_id AS id, row_id AS low FROM emb UNION SELECT link.b, reach.low FROM reach JOIN link ON link.a = reach.id)
+SELECT id AS row_id, min(low) AS cluster FROM reach GROUP BY id"""
+
+# ---- evaluation and model selection ----------------------------------------
+
+_SIL = f"""WITH {EMB}, {ALL_PAIRS},
+m AS (SELECT a, ca, cb, CASE WHEN ca = cb THEN sum(d) / nullif(count(*) - 1, 0) ELSE avg(d) END AS m
+      FROM dist GROUP BY a, ca, cb),
+p AS (SELECT a AS row_id, ca AS cluster, max(m) FILTER (ca = cb) AS ai, min(m) FILTER (ca <> cb) AS bi
+      FROM m GROUP BY ALL),
+s AS (SELECT row_id, cluster, CASE WHEN ai IS NULL OR bi IS NULL OR greatest(ai, bi) = 0 THEN 0.0
+      ELSE (bi - ai) / greatest(ai, bi) END AS s FROM p)"""
+_CENTRES = f"""{EMB}, {CELLS}, mu AS (SELECT cluster, f, avg(t) AS m FROM cells GROUP BY ALL),
+spread AS (SELECT row_id, cells.cluster, sum((t - m) * (t - m)) AS q FROM cells JOIN mu USING (cluster, f) GROUP BY ALL)"""
+_CH = """ch AS (SELECT (b / (k - 1)) / (w / (n - k)) AS ch FROM
+  (SELECT sum(c * (m - g) * (m - g)) AS b FROM mu JOIN (SELECT f, avg(t) AS g FROM cells GROUP BY f) USING (f)
+     JOIN (SELECT cluster, count(*) AS c FROM emb GROUP BY ALL) USING (cluster)),
+  (SELECT sum(q) AS w, count(*) AS n, count(DISTINCT cluster) AS k FROM spread))"""
+_DB = """sig AS (SELECT cluster, avg(sqrt(q)) AS s FROM spread GROUP BY ALL),
+gap AS (SELECT p.cluster AS i, q.cluster AS j, sqrt(sum((p.m - q.m) * (p.m - q.m))) AS d
+  FROM mu p JOIN mu q USING (f) WHERE p.cluster <> q.cluster GROUP BY ALL),
+db AS (SELECT avg(r) AS db FROM (SELECT i, max((a.s + b.s) / d) AS r FROM gap
+  JOIN sig a ON a.cluster = i JOIN sig b ON b.cluster = j GROUP BY i))"""
+ORACLES["evl_silhouette"] = f"{_SIL} SELECT {r6('avg(s)')} AS silhouette FROM s"
+ORACLES["evl_silhouette_points"] = f"""{_SIL} SELECT row_id, cluster, {r6('s')} AS s,
+row_number() OVER (PARTITION BY cluster ORDER BY s, row_id) - 1 AS rank FROM s"""
+ORACLES["evl_ch"] = f"WITH {_CENTRES}, {_CH} SELECT {r6('ch')} AS ch FROM ch"
+ORACLES["evl_db"] = f"WITH {_CENTRES}, {_DB} SELECT {r6('db')} AS db FROM db"
+ORACLES["evl_scores"] = (f"{_SIL}, {_CENTRES.removeprefix(EMB + ', ')}, {_CH}, {_DB} "
+                         f"SELECT (SELECT {r6('avg(s)')} FROM s) AS silhouette, {r6('ch')} AS ch, {r6('db')} AS db FROM ch, db")
+ORACLES["evl_sizes"] = "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY ALL"
+ORACLES["evl_contingency"] = """SELECT label AS cluster, ['A', 'B', 'C', 'D'][CAST(vec_id % 4 + 1 AS INTEGER)] AS label,
+count(*) AS n FROM embeddings GROUP BY 1, 2"""
+ORACLES["mdl_knee"] = """WITH curve AS (SELECT l_linenumber AS series, k, sum(l_extendedprice) AS y
+  FROM lineitem, (SELECT unnest(range(2, 16)) AS k) WHERE floor(l_quantity / 3) >= k GROUP BY ALL),
+u AS (SELECT series, k, (max(y) OVER s - y) / (max(y) OVER s - min(y) OVER s)
+        - (k - min(k) OVER s) / (max(k) OVER s - min(k) OVER s)::DOUBLE AS d, count(*) OVER s AS n
+      FROM curve WINDOW s AS (PARTITION BY series)),
+e AS (SELECT *, lead(d) OVER w AS nx, d >= coalesce(lag(d) OVER w, d) AND d >= coalesce(lead(d) OVER w, d) AS top,
+        d <= coalesce(lag(d) OVER w, d) AND d <= coalesce(lead(d) OVER w, d) AS low
+      FROM u WINDOW w AS (PARTITION BY series ORDER BY k)),
+t AS (SELECT *, last_value(CASE WHEN low THEN 0.0 WHEN top THEN d - 1.0 / (n - 1) END IGNORE NULLS) OVER w AS th,
+        last_value(CASE WHEN top THEN k END IGNORE NULLS) OVER w AS cand
+      FROM e WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT series, min_by(cand, k) FILTER (cand IS NOT NULL AND nx IS NOT NULL AND nx < th) AS knee FROM t GROUP BY series"""
+ORACLES["mdl_kde"] = f"""WITH {EMB},
+h AS (SELECT cluster, stddev_samp(v[1]) * pow(count(*), -0.2) AS h, min(v[1]) AS lo, max(v[1]) AS hi FROM emb GROUP BY ALL),
+g AS (SELECT cluster, h, g, lo - 3 * h + (hi - lo + 6 * h) * g / 199 AS pos FROM h, (SELECT unnest(range(200))::INTEGER AS g))
+SELECT cluster, g, {r6('pos')} AS at, {r6('avg(exp(-0.5 * pow((pos - v[1]) / h, 2)) / sqrt(2 * pi())) / any_value(h)')} AS density
+FROM g JOIN emb USING (cluster) GROUP BY cluster, g, pos"""
+
+
+# ---- walks over the distance matrix ----------------------------------------
+
+def _walk(core: str) -> str:
+    """Visit rows one by one, always the unvisited row with the least weight (ties:
+    lowest row). ``core`` is 0 for a plain spanning tree; for reachability it is
+    the distance to the fifth neighbour."""
+    return f"""WITH RECURSIVE {EMB}, {ALL_PAIRS},
+line AS MATERIALIZED (SELECT a, list(d ORDER BY b) AS ds, {core} AS core FROM dist GROUP BY a),
+walk(n, cur, w, seen, reach) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 'Infinity'::DOUBLE, [0::BIGINT],
+         list_transform(ds, lambda d: greatest(core, d)) FROM line WHERE a = 0
+  UNION ALL
+  SELECT n + 1, line.a, pick.w, list_append(seen, line.a),
+         list_transform(list_zip(reach, line.ds), lambda t: least(t[1], greatest(line.core, t[2])))
+  FROM (SELECT walk.n, walk.seen, walk.reach,
+          list_min(list_filter(list_transform(walk.reach, lambda r, i: {{'w': r, 'i': i - 1}}),
+                               lambda t: NOT list_contains(walk.seen, t.i))) AS pick
+        FROM walk) JOIN line ON line.a = pick.i)"""
+
+
+_CORE5 = "list_sort(list(d))[5]"
+ORACLES["lnk_single_heights"] = f"""{_walk('0.0')}
+SELECT row_number() OVER (ORDER BY w) - 1 AS step, {r6('w')} AS height FROM walk WHERE n > 0"""
+ORACLES["clu_optics_order"] = f"""{_walk(_CORE5)}
+SELECT cur AS row_id, n AS ord, CASE WHEN n > 0 THEN {r6('w')} END AS reach, {r6('core')} AS core
+FROM walk JOIN line ON line.a = cur"""

@@ -105,3 +105,13 @@ def metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_extendedprice") % 700) / 350 - 1).alias("silhouette"),
         (F.col("l_extendedprice") / 97).alias("ch"),
         (F.col("l_extendedprice") % 90 / 7 + F.col("l_tax")).alias("db")), schemas.METRICS)
+
+
+def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A falling curve per line number: revenue of lines with quantity >= 3k, k = 2..15."""
+    li = table(spark, sf_dir, "lineitem")
+    last = F.least(F.lit(15), F.floor(F.col("l_quantity") / 3).cast("int"))
+    return (li.filter(last >= 2)
+            .select(F.col("l_linenumber").alias("series"), F.explode(F.sequence(F.lit(2), last)).alias("k"),
+                    "l_extendedprice")
+            .groupBy("series", "k").agg(F.sum("l_extendedprice").alias("y")))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from foldspark import session
 from foldspark.functions.expressions import safe_divide
-from foldspark.operators import clean, distance, hic, normalise, shape
+from foldspark.operators import (clean, density, distance, evaluate, graph, hic, kmeans, layout,
+                                 linkage, model, normalise, pairwise, reduce, shape)
+from foldspark.plans import analysis, report
 from foldspark.plans import feature_matrix as fm
-from foldspark.plans import report
 from foldspark.schemas import FRAME_KEY
 from foldspark.sources import logs, matrices, sinks, tables, trajectories
 
@@ -475,3 +476,281 @@ def log_select(spark, sf):
 def log_report(spark, sf):
     out = report.report(spark, _logged(spark, sf), session.fresh_path(spark, "summary"))
     return rounded(out["normalised"], "silhouette", "ch", "db")
+
+
+# ---- row distances and reductions ------------------------------------------
+
+def _rows(spark, sf) -> DataFrame:
+    return tables.features(spark, sf).drop("cluster")
+
+
+@query
+def dst_rowpairs(spark, sf):
+    return rounded(pairwise.row_pairs(_rows(spark, sf)), "d")
+
+
+@query
+def red_covariance(spark, sf):
+    return rounded(reduce.covariance(_rows(spark, sf)), "cov")
+
+
+@query
+def red_variance_total(spark, sf):
+    cov = reduce.covariance(_rows(spark, sf))
+    return cov.filter("f = g").agg(r6(F.sum("cov")).alias("total"))
+
+
+@query
+def red_top_loadings(spark, sf):
+    """Ten largest mean features, standing in for a first component."""
+    means = (_rows(spark, sf).select(F.posexplode("v").alias("f", "t"))
+             .groupBy("f").agg(F.avg("t").alias("loading")))
+    return rounded(reduce.top_loadings(means.withColumn("k", F.lit(1))), "importance")
+
+
+@query
+def red_n95(spark, sf):
+    """Features in order, weighted by their variance share, as a given spectrum."""
+    cov = reduce.covariance(_rows(spark, sf)).filter("f = g")
+    total = cov.agg(F.sum("cov").alias("t")).scalar()
+    spectrum = cov.select((F.col("f") + 1).alias("k"), (F.col("cov") / total).alias("ratio"))
+    return reduce.components_for(spectrum)
+
+
+@query
+def red_pca(spark, sf):
+    out = reduce.pca(_rows(spark, sf), 3)
+    return rounded(out.spectrum, "value", "ratio")
+
+
+@query
+def red_pca_scores(spark, sf):
+    return reduce.pca(_rows(spark, sf), 2).embed.select(
+        "row_id", r6(F.element_at("e", 1)).alias("c1"), r6(F.element_at("e", 2)).alias("c2"))
+
+
+@query
+def red_svd(spark, sf):
+    return rounded(reduce.svd(_rows(spark, sf), 3).spectrum, "value", "ratio")
+
+
+@query
+def red_knn(spark, sf):
+    return rounded(pairwise.nearest(_rows(spark, sf), 5), "d")
+
+
+@query
+def red_tsne_p_rows(spark, sf):
+    """Neighbours, total weight and perplexity of each row."""
+    p = layout.conditional_p(_rows(spark, sf), 30.0)
+    return p.groupBy(F.col("a").alias("row_id")).agg(
+        F.count("p").alias("neighbours"), F.round(F.sum("p"), 6).alias("total"),
+        F.round(F.exp(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")).otherwise(0.0))), 3)
+        .alias("perplexity"))
+
+
+@query
+def red_tsne_joint(spark, sf):
+    """The joint weights add up to 1 and are symmetric."""
+    rows = _rows(spark, sf)
+    p = layout.joint_p(layout.conditional_p(rows, 30.0), rows.count())
+    return p.agg(F.round(F.sum("p"), 6).alias("total"),
+                 F.round(F.sum(F.when(F.col("a") < F.col("b"), F.col("p")).otherwise(-F.col("p"))), 6)
+                 .alias("skew"))
+
+
+@query
+def red_umap_rho(spark, sf):
+    """Nearest positive distance and total weight log2(15) of each row."""
+    gap = F.greatest(F.col("d") - F.col("rho"), F.lit(0.0))
+    return layout.local_scales(_rows(spark, sf), 15).groupBy(F.col("a").alias("row_id")).agg(
+        r6(F.max("rho")).alias("rho"), F.round(F.sum(F.exp(-gap / F.col("sigma"))), 3).alias("total"))
+
+
+@query
+def red_umap_graph(spark, sf):
+    graph_ = layout.fuzzy_graph(layout.local_scales(_rows(spark, sf), 15))
+    return graph_.select("i", "j", F.round("w", 4).alias("w"))
+
+
+@query
+def red_mds_stress(spark, sf):
+    y, history = layout.mds(_rows(spark, sf), 2, max_iter=12)
+    return y.select("row_id", F.lit(history[-1]).alias("stress"),
+                    F.element_at("y", 1).alias("c1"), F.element_at("y", 2).alias("c2"))
+
+
+@query
+def red_tsne_layout(spark, sf):
+    y, divergence = layout.tsne(_rows(spark, sf), 2, n_iter=8)
+    return y.select("row_id", F.lit(divergence).alias("divergence"),
+                    F.element_at("y", 1).alias("c1"), F.element_at("y", 2).alias("c2"))
+
+
+@query
+def red_umap_layout(spark, sf):
+    y, _ = layout.umap(_rows(spark, sf), 2, n_epochs=8)
+    return y.select("row_id", F.element_at("y", 1).alias("c1"), F.element_at("y", 2).alias("c2"))
+
+
+# ---- clustering ------------------------------------------------------------
+
+@query
+def clu_inertia_k1(spark, sf):
+    return rounded(kmeans.total_inertia(_rows(spark, sf)), "inertia")
+
+
+@query
+def clu_kmeans(spark, sf):
+    assign, facts = kmeans.kmeans(_rows(spark, sf), 5, 4)
+    return assign.select("row_id", "cluster", F.lit(facts["best_inertia"]).alias("inertia"))
+
+
+@query
+def clu_elbow(spark, sf):
+    return spark.createDataFrame(kmeans.inertia_curve(_rows(spark, sf), 5), "k int, inertia double")
+
+
+@query
+def clu_spectral(spark, sf):
+    return analysis.run_clustering("spectral", _rows(spark, sf), 5, 2, rounds=6)[0]
+
+
+@query
+def clu_dbscan(spark, sf):
+    return density.dbscan(_rows(spark, sf), 1.16, 5)
+
+
+@query
+def clu_core_distance(spark, sf):
+    return rounded(pairwise.core_distances(_rows(spark, sf), 5), "core")
+
+
+@query
+def clu_optics(spark, sf):
+    out = density.optics(_rows(spark, sf), min_samples=5, xi=0.01, min_cluster_size=0.02)
+    return out.select("row_id", "cluster", "ord", "pred", r6("core").alias("core"),
+                      F.when(F.col("reach") < 1e300, r6("reach")).alias("reach"))
+
+
+@query
+def clu_optics_order(spark, sf):
+    out = density.optics_order(_rows(spark, sf), min_samples=5)
+    return out.select("row_id", "ord", F.when(F.col("reach") < 1e300, r6("reach")).alias("reach"),
+                      r6("core").alias("core"))
+
+
+@query
+def clu_single_cut(spark, sf):
+    """Components of the single-linkage tree below a height."""
+    rows = _rows(spark, sf)
+    events = linkage.merge_events(rows, "single").filter(F.col("height") <= 1.1)
+    comp = graph.components(events.select("a", "b")).withColumnRenamed("id", "row_id")
+    return rows.select("row_id").join(comp, "row_id", "left").select(
+        "row_id", F.coalesce("comp", "row_id").alias("cluster"))
+
+
+@query
+def clu_hierarchical(spark, sf):
+    return linkage.hierarchical(_rows(spark, sf), 5, "ward")[0]
+
+
+def _linkage_query(method: str) -> None:
+    def run(spark, sf):
+        return rounded(linkage.linkage(_rows(spark, sf), method), "height")
+    run.__name__ = f"lnk_{method}"
+    query(run)
+
+
+for _method in linkage.METHODS:
+    _linkage_query(_method)
+
+
+@query
+def lnk_single_heights(spark, sf):
+    return rounded(linkage.linkage(_rows(spark, sf), "single").select("step", "height"), "height")
+
+
+@query
+def lnk_truncated(spark, sf):
+    return rounded(linkage.truncated(linkage.linkage(_rows(spark, sf), "ward"), 10), "height")
+
+
+# ---- evaluation and model selection ----------------------------------------
+
+@query
+def evl_silhouette(spark, sf):
+    points = evaluate.silhouette_points(tables.features(spark, sf))
+    return points.agg(r6(F.avg("s")).alias("silhouette"))
+
+
+@query
+def evl_silhouette_points(spark, sf):
+    return rounded(evaluate.silhouette_series(tables.features(spark, sf)), "s")
+
+
+@query
+def evl_ch(spark, sf):
+    return rounded(evaluate.calinski_harabasz(tables.features(spark, sf)), "ch")
+
+
+@query
+def evl_db(spark, sf):
+    return rounded(evaluate.davies_bouldin(tables.features(spark, sf)), "db")
+
+
+@query
+def evl_scores(spark, sf):
+    return rounded(evaluate.evaluate(tables.features(spark, sf)), "silhouette", "ch", "db")
+
+
+@query
+def evl_sizes(spark, sf):
+    return evaluate.sizes(tables.features(spark, sf))
+
+
+@query
+def evl_core_counts(spark, sf):
+    return evaluate.core_counts(density.dbscan(_rows(spark, sf), 1.16, 5))
+
+
+@query
+def evl_contingency(spark, sf):
+    named = tables.features(spark, sf).withColumn(
+        "label", F.element_at(F.array(*[F.lit(l) for l in tables.LABELS]),
+                              (F.col("row_id") % 4 + 1).cast("int")))
+    return evaluate.contingency(named)
+
+
+@query
+def evl_reachability(spark, sf):
+    out = density.reachability(density.optics_order(_rows(spark, sf), 5), by_order=True)
+    return out.withColumn("reach", F.when(F.col("reach") < 1e300, r6("reach")))
+
+
+@query
+def mdl_knee(spark, sf):
+    return model.knee(tables.curve(spark, sf))
+
+
+@query
+def mdl_kde(spark, sf):
+    points = tables.features(spark, sf).withColumn("c1", F.element_at("v", 1))
+    return rounded(model.kde(points, "c1"), "at", "density")
+
+
+@query
+def mdl_optimal_k(spark, sf):
+    return model.optimal_k(_rows(spark, sf), 6)
+
+
+@query
+def mdl_score_embedding(spark, sf):
+    embed = session.cut(analysis.run_reduction("svd", _rows(spark, sf), 2)[0])
+    return analysis.score_embedding(embed, "kmeans", 5, n_iterations=3)[1]
+
+
+@query
+def mdl_sweep(spark, sf):
+    return analysis.sweep(tables.beads(spark, sf), tables.LABELS, ["euclidean", "contact"], ["vc"],
+                          ["weighted"], ["svd"], n_clusters=4, n_iterations=2)
