@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import pair_index
 from foldspark.schemas import FRAME_KEY
-from foldspark.session import cut
+from foldspark.session import checkpointed
 
 
 def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
     The sort is range partitioned and its result is fixed by a checkpoint; the
     only table gathered is one row count per partition.
     """
-    fixed = cut(df.orderBy(*order)).withColumn("_mid", F.monotonically_increasing_id())
+    fixed = checkpointed(df.orderBy(*order)).withColumn("_mid", F.monotonically_increasing_id())
     part = F.shiftright("_mid", 33)
     counts = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -59,16 +59,42 @@ def pad_frames(beads: DataFrame) -> DataFrame:
     return beads.select(*FRAME_KEY, "bead", "x", "y", "z").unionByName(ghosts)
 
 
-def pad_matrices(pairs: DataFrame, width: Column | int) -> DataFrame:
-    """Every frame's strict upper triangle at the given width, zeros where no value is."""
-    width = F.lit(width) if isinstance(width, int) else width
-    frames = pairs.select(FRAME_KEY).distinct()
-    rows = frames.withColumn("_n", width.cast("int")).select(
-        *FRAME_KEY, "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 2)).alias("i"))
-    grid = rows.select(*FRAME_KEY, "i",
-                       F.explode(F.sequence(F.col("i") + 1, F.col("_n") - 1)).alias("j"))
-    return grid.join(pairs, [*FRAME_KEY, "i", "j"], "left").select(
-        *FRAME_KEY, "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+def _spread(width: int, columns: list[str]):
+    rows, cols = np.triu_indices(width, 1)
+    per = len(rows)
+
+    def run(batches):
+        place = np.zeros((width, width), dtype=np.int64)
+        place[rows, cols] = np.arange(per)
+        for batch in batches:
+            step = max(1, 1_000_000 // max(per, 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                cells, n = part.column("_cells"), part.num_rows
+                lengths = cells.value_lengths().to_numpy(zero_copy_only=False)
+                flat = cells.flatten()
+                i, j, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in "ijv")
+                out = np.zeros(n * per)
+                out[np.repeat(np.arange(n), lengths) * per + place[i, j]] = v
+                owner = pa.array(np.repeat(np.arange(n), per))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(owner) for c in columns),
+                     pa.array(np.tile(rows, n), pa.int32()), pa.array(np.tile(cols, n), pa.int32()),
+                     pa.array(out)], [*columns, "i", "j", "v"])
+    return run
+
+
+def pad_matrices(pairs: DataFrame, width: int) -> DataFrame:
+    """Every frame's strict upper triangle at the given width, zeros where no value is.
+
+    Only the present cells are shuffled; the zeros appear after it. Frames
+    without any cell are not known here.
+    """
+    types = dict(pairs.dtypes)
+    key = ", ".join(f"{c} {types[c]}" for c in FRAME_KEY)
+    grouped = pairs.filter(F.col("i") < F.col("j")).groupBy(FRAME_KEY).agg(
+        F.collect_list(F.struct("i", "j", "v")).alias("_cells"))
+    return grouped.mapInArrow(_spread(width, FRAME_KEY), f"{key}, i int, j int, v double")
 
 
 def flatten(pairs: DataFrame, width: Column | int) -> DataFrame:

@@ -20,7 +20,7 @@ from foldspark.operators.distance import distances
 from foldspark.operators.normalise import normalise
 from foldspark.operators.prepare import chunk_of, prep_of
 from foldspark.schemas import FRAME_KEY
-from foldspark.session import cut
+from foldspark.session import checkpointed, cut
 
 
 def dist_map(beads: DataFrame, label: str | None = None, metric: str = "euclidean",
@@ -34,21 +34,29 @@ def dist_map(beads: DataFrame, label: str | None = None, metric: str = "euclidea
     return normalise(distances(beads, metric, square=True), norm, **norm_options)
 
 
-def extent(beads: DataFrame) -> tuple[int, int]:
-    """Matrix width and number of frames."""
-    row = (beads.groupBy(FRAME_KEY).agg(F.max("bead").alias("top"))
-           .agg(F.max("top").alias("top"), F.count(F.lit(1)).alias("n")).first())
-    return (0 if row["top"] is None else row["top"] + 1), row["n"]
+# Coordinates up to this size cannot give an infinite distance.
+_SAFE = 1e100
+
+
+def extent(beads: DataFrame) -> tuple[int, int, bool]:
+    """Matrix width, number of frames, and whether all coordinates are ordinary
+    numbers (so that no distance needs imputing)."""
+    ordinary = F.bool_and((F.abs("x") < _SAFE) & (F.abs("y") < _SAFE) & (F.abs("z") < _SAFE))
+    row = (beads.groupBy(FRAME_KEY).agg(F.max("bead").alias("top"), ordinary.alias("ok"))
+           .agg(F.max("top").alias("top"), F.count(F.lit(1)).alias("n"),
+                F.bool_and("ok").alias("ok")).first())
+    return (0 if row["top"] is None else row["top"] + 1), row["n"], bool(row["ok"])
 
 
 def normalised_cells(beads: DataFrame, labels: list[str], metric: str, norm: str | None,
-                     width: int, **norm_options) -> DataFrame:
+                     width: int, impute: bool = True, **norm_options) -> DataFrame:
     """Imputed and normalised square matrices."""
     if norm in ("ice", "kr"):
         norm_options.setdefault("width", width)
-    imputed = clean.fill_label_mean(
-        clean.clamp_infinite(distances(beads, metric, square=True)), labels)
-    return normalise(imputed, norm, **norm_options)
+    square = distances(beads, metric, square=True)
+    if impute:
+        square = clean.fill_label_mean(clean.clamp_infinite(square), labels)
+    return normalise(square, norm, **norm_options)
 
 
 def _weighted_extremes(values: DataFrame):
@@ -76,15 +84,15 @@ def feature_matrix(beads: DataFrame, labels: list[str], metric: str = "euclidean
     norms do. ``constant`` is the value of an X whose entries are all equal.
     """
     beads = beads.filter(F.col("label").isin(labels))
-    width, frames = extent(beads)
+    width, frames, ordinary = extent(beads)
     columns = width * (width - 1) // 2
-    square = normalised_cells(beads, labels, metric, norm, width, **norm_options)
+    square = normalised_cells(beads, labels, metric, norm, width, not ordinary, **norm_options)
     # diagonal rows stay as markers, so a frame of one bead keeps its row of X
     cells = square.filter(F.col("i") <= F.col("j")).select(
         *FRAME_KEY, F.when(F.col("i") < F.col("j"),
                            pair_index(F.col("i"), F.col("j"), width)).alias("f"), "v")
     if materialise if materialise is not None else norm in ("ice", "kr"):
-        cells = cut(cells)
+        cells = checkpointed(cells)
     ids = shape.stack(beads, labels) if row_ids or chunks is not None else None
 
     real = cells.filter(F.col("f").isNotNull())

@@ -19,7 +19,6 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
@@ -46,8 +45,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    """Cut the lineage: store the rows as a table in the shared folder and read
+    them back. This survives lost executors, and in a loop the planner sees the
+    true size of each round's state (a checkpoint would carry the joins' size
+    estimates along, which multiply from round to round)."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "state")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; unlike ``cut`` it keeps row order and partitioning."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)

@@ -12,10 +12,10 @@ STRICT_PATTERN = (r"(?s)method: (\w+).*metric: (\w+).*norm: (\w+)"
                   r".*Silhouette Score: ([\d.]+)"
                   r".*Calinski-Harabasz Index: ([\d.]+)"
                   r".*Davies-Bouldin Index: ([\d.]+)")
-PATTERN = (r"(?s)- method: (\w+).*- metric: (\w+).*- norm: (\w+)"
-           r".*Silhouette Score: (-?[\d.]+)"
-           r".*Calinski-Harabasz Index: (-?[\d.]+)"
-           r".*Davies-Bouldin Index: (-?[\d.]+)")
+PATTERN = (r"(?s)- method: (\w+).*?- metric: (\w+).*?- norm: (\w+)"
+           r".*?Silhouette Score: (-?[\d.]+)"
+           r".*?Calinski-Harabasz Index: (-?[\d.]+)"
+           r".*?Davies-Bouldin Index: (-?[\d.]+)")
 _TEMPLATE = f"""
 {SEPARATOR}
 File: run

@@ -317,7 +317,9 @@ def nrm_balanced(spark, sf):
 
 def _matrix_query(name: str, **options) -> None:
     def run(spark, sf):
-        x = fm.feature_matrix(tables.beads(spark, sf), tables.LABELS, **options)
+        # derived once; several passes read it
+        beads = session.cut(tables.beads(spark, sf))
+        x = fm.feature_matrix(beads, tables.LABELS, **options)
         return row_sums(x, *FRAME_KEY, "row_id")
     run.__name__ = name
     query(run)
@@ -752,5 +754,5 @@ def mdl_score_embedding(spark, sf):
 
 @query
 def mdl_sweep(spark, sf):
-    return analysis.sweep(tables.beads(spark, sf), tables.LABELS, ["euclidean", "contact"], ["vc"],
+    return analysis.sweep(session.cut(tables.beads(spark, sf)), tables.LABELS, ["euclidean", "contact"], ["vc"],
                           ["weighted"], ["svd"], n_clusters=4, n_iterations=2)
