@@ -523,3 +523,60 @@ SELECT row_number() OVER (ORDER BY w) - 1 AS step, {r6('w')} AS height FROM walk
 ORACLES["clu_optics_order"] = f"""{_walk(_CORE5)}
 SELECT cur AS row_id, n AS ord, CASE WHEN n > 0 THEN {r6('w')} END AS reach, {r6('core')} AS core
 FROM walk JOIN line ON line.a = cur"""
+
+
+# ---- spectra ---------------------------------------------------------------
+# Sums of powers of eigenvalues are traces of matrix powers.
+
+ORACLES["red_pca_moments"] = f"""WITH {EMB}, {CELLS},
+c AS MATERIALIZED (SELECT p.f AS f, q.f AS g, covar_samp(p.t, q.t) AS c FROM cells p JOIN cells q USING (row_id) GROUP BY p.f, q.f),
+s AS (SELECT x.f, y.g, sum(x.c * y.c) AS c FROM c x JOIN c y ON x.g = y.f GROUP BY x.f, y.g)
+SELECT (SELECT {r6('sum(c)')} FROM c WHERE f = g) AS m1, (SELECT {r6('sum(c * c)')} FROM c) AS m2,
+       (SELECT {r6('sum(c.c * s.c)')} FROM c JOIN s ON c.f = s.g AND c.g = s.f) AS m3"""
+ORACLES["red_svd_moments"] = f"""WITH {EMB}, {CELLS},
+c AS (SELECT p.f AS f, q.f AS g, sum(p.t * q.t) AS c FROM cells p JOIN cells q USING (row_id) GROUP BY p.f, q.f)
+SELECT (SELECT round(sum(c), 4) FROM c WHERE f = g) AS m1, (SELECT round(sum(c * c), 4) FROM c) AS m2"""
+ORACLES["red_pca_norms"] = f"""WITH {EMB}, {CELLS}, m AS (SELECT f, avg(t) AS m FROM cells GROUP BY f)
+SELECT row_id, {r6('sum((t - m) * (t - m))')} AS norm FROM cells JOIN m USING (f) GROUP BY row_id"""
+
+# ---- one merge at a time ---------------------------------------------------
+
+_UNION = {
+    "complete": "greatest(x.d, y.d)",
+    "average": "(np * x.d + nq * y.d) / (np + nq)",
+    "weighted": "(x.d + y.d) / 2",
+    "ward": "sqrt(greatest(((np + nk) * x.d * x.d + (nq + nk) * y.d * y.d - nk * h * h) / (np + nq + nk), 0))",
+}
+
+
+def greedy_linkage(method: str) -> str:
+    """Cells (a, b) hold distances, (a, a) sizes, (-1, q) the merge that absorbed q."""
+    near = "recurring.t o, who WHERE o.a >= 0 AND o.d < 'Infinity' AND (o.a = who.{0} OR o.b = who.{0})"
+    return f"""WITH RECURSIVE {EMB},
+t(a, b, d, n, p) USING KEY (a, b) AS (
+  SELECT a.row_id, b.row_id, CASE WHEN a.row_id < b.row_id THEN list_distance(a.v, b.v) ELSE 'Infinity'::DOUBLE END,
+         1::BIGINT, 0::BIGINT
+  FROM emb a JOIN emb b ON a.row_id <= b.row_id
+  UNION
+  (WITH pick AS (SELECT m.a AS p, m.b AS q, m.d AS h FROM (
+     SELECT min({{'d': d, 'a': a, 'b': b}}) AS m FROM recurring.t WHERE a >= 0 AND d < 'Infinity')),
+   size AS (SELECT a AS id, n FROM recurring.t WHERE a = b),
+   who AS (SELECT p, q, h, sp.n AS np, sq.n AS nq FROM pick JOIN size sp ON sp.id = p JOIN size sq ON sq.id = q),
+   x AS (SELECT CASE WHEN o.a = who.p THEN o.b ELSE o.a END AS k, o.d FROM {near.format('p')}),
+   y AS (SELECT CASE WHEN o.a = who.q THEN o.b ELSE o.a END AS k, o.d FROM {near.format('q')}),
+   z AS (SELECT x.k, {_UNION[method]} AS d FROM x JOIN y USING (k)
+         JOIN (SELECT id, n AS nk FROM size) s ON s.id = x.k, who)
+   SELECT least(who.p, k), greatest(who.p, k), z.d, 0, 0 FROM z, who
+   UNION ALL SELECT least(q, k), greatest(q, k), 'Infinity'::DOUBLE, 0, 0 FROM y, who WHERE k <> p
+   UNION ALL SELECT p, q, 'Infinity'::DOUBLE, 0, 0 FROM who
+   UNION ALL SELECT p, p, 'Infinity'::DOUBLE, np + nq, 0 FROM who
+   UNION ALL SELECT -1, q, h, np + nq, p FROM who)),
+m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d) - 1 AS step, p, b AS q, d AS height, n AS size FROM t WHERE a = -1),
+ids AS (SELECT m.step, m.height, m.size,
+  coalesce((SELECT max(e.step) FROM m e WHERE e.p = m.p AND e.step < m.step) + (SELECT count(*) FROM emb), m.p) AS l,
+  coalesce((SELECT max(e.step) FROM m e WHERE e.p = m.q AND e.step < m.step) + (SELECT count(*) FROM emb), m.q) AS r FROM m)
+SELECT step, least(l, r) AS a, greatest(l, r) AS b, {r6('height')} AS height, size FROM ids"""
+
+
+for _m in _UNION:
+    ORACLES[f"lnk_{_m}"] = greedy_linkage(_m)

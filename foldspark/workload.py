@@ -536,6 +536,33 @@ def red_svd(spark, sf):
     return rounded(reduce.svd(_rows(spark, sf), 3).spectrum, "value", "ratio")
 
 
+@query
+def red_pca_moments(spark, sf):
+    """Sums of powers of all explained variances."""
+    rows = _rows(spark, sf)
+    value = F.col("value")
+    return reduce.pca(rows, pairwise.shape_of(rows)[1]).spectrum.agg(
+        r6(F.sum(value)).alias("m1"), r6(F.sum(value * value)).alias("m2"),
+        r6(F.sum(value * value * value)).alias("m3"))
+
+
+@query
+def red_svd_moments(spark, sf):
+    rows = _rows(spark, sf)
+    square = F.col("value") * F.col("value")
+    return reduce.svd(rows, pairwise.shape_of(rows)[1]).spectrum.agg(
+        F.round(F.sum(square), 4).alias("m1"), F.round(F.sum(square * square), 4).alias("m2"))
+
+
+@query
+def red_pca_norms(spark, sf):
+    """Scores on all components keep each centred row's length."""
+    rows = _rows(spark, sf)
+    embed = reduce.pca(rows, pairwise.shape_of(rows)[1]).embed
+    return embed.select("row_id", r6(F.aggregate(
+        "e", F.lit(0.0), lambda acc, t: acc + t * t)).alias("norm"))
+
+
 @query
 def red_knn(spark, sf):
     return rounded(pairwise.nearest(_rows(spark, sf), 5), "d")
