@@ -31,6 +31,8 @@ def dist_map(beads: DataFrame, label: str | None = None, metric: str = "euclidea
         beads = beads.filter(F.col("label") == label)
     if max_frames is not None:
         beads = clean.first_frames(beads, max_frames)
+    if norm in ("ice", "kr") and "width" not in norm_options:
+        norm_options["width"] = extent(beads)[0]  # from the beads, not from their pairs
     return normalise(distances(beads, metric, square=True), norm, **norm_options)
 
 
