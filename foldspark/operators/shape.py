@@ -87,13 +87,14 @@ def _spread(width: int, columns: list[str]):
 def pad_matrices(pairs: DataFrame, width: int) -> DataFrame:
     """Every frame's strict upper triangle at the given width, zeros where no value is.
 
-    Only the present cells are shuffled; the zeros appear after it. Frames
-    without any cell are not known here.
+    Only the present cells are shuffled; the zeros appear after it. Diagonal cells
+    keep a frame of one bead, which has no others.
     """
     types = dict(pairs.dtypes)
     key = ", ".join(f"{c} {types[c]}" for c in FRAME_KEY)
-    grouped = pairs.filter(F.col("i") < F.col("j")).groupBy(FRAME_KEY).agg(
-        F.collect_list(F.struct("i", "j", "v")).alias("_cells"))
+    cell = F.when(F.col("i") < F.col("j"), F.struct("i", "j", "v"))
+    grouped = pairs.filter(F.col("i") <= F.col("j")).groupBy(FRAME_KEY).agg(
+        F.collect_list(cell).alias("_cells"))
     return grouped.mapInArrow(_spread(width, FRAME_KEY), f"{key}, i int, j int, v double")
 
 

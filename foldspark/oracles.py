@@ -165,7 +165,7 @@ SELECT {KEY}, bead, {XYZ} FROM beads
 UNION ALL SELECT label, replica, frame, CAST(unnest(range(top + 1)) AS INTEGER), 0.0, 0.0, 0.0 FROM ghost"""
 ORACLES["shp_pad_matrix"] = f"""WITH {BEADS}, {WIDTH}, {pairs('contact')},
 ax AS (SELECT CAST(unnest(range(n)) AS INTEGER) AS k FROM w),
-grid AS (SELECT {KEY}, p.k AS i, q.k AS j FROM (SELECT DISTINCT {KEY} FROM pairs), ax p, ax q WHERE p.k < q.k)
+grid AS (SELECT {KEY}, p.k AS i, q.k AS j FROM (SELECT DISTINCT {KEY} FROM beads), ax p, ax q WHERE p.k < q.k)
 SELECT {KEY}, count(*) AS cells, count(*) FILTER (coalesce(v, 0.0) = 0) AS zeros,
        {r6('sum(coalesce(v, 0.0))')} AS total
 FROM grid LEFT JOIN pairs USING ({KEY}, i, j) GROUP BY ALL"""

@@ -18,6 +18,9 @@ _SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
 }
+# Work folders of local sessions that name none.
+_LOCAL: dict[str, str] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
@@ -34,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="foldspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="foldspark-")
+    return _LOCAL[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -153,7 +153,7 @@ def shp_pad_frames(spark, sf):
 def shp_pad_matrix(spark, sf):
     beads = tables.beads(spark, sf)
     width = fm.extent(beads)[0]
-    padded = shape.pad_matrices(distance.distances(beads, "contact"), width)
+    padded = shape.pad_matrices(distance.distances(beads, "contact", square=True), width)
     return padded.groupBy(FRAME_KEY).agg(
         F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("v") == 0, 1)).alias("zeros"),
         r6(F.sum("v")).alias("total"))
