@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, packing, secret_scan
+from foldspark.llm import bpe, packing, quality_rules, secret_scan
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,15 @@ def op5_packing(spark, sf_dir):
                          "sequence_id", "offset", "window", "step_id")
 
 
+@_query
+def op7_quality_rules(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs.select("doc_id", "text"), rules).select(
+        "doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                          "n_repeat_words")), "base_failed", "kept", "rule")
+
+
 @_query
 def op8_secret_scan(spark, sf_dir):
     found = secret_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "spans")
