@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, packing, quality_rules, secret_scan
+from foldspark.llm import bpe, packing, quality_rules, secret_scan, simhash
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op5_packing(spark, sf_dir):
                          "sequence_id", "offset", "window", "step_id")
 
 
+@_query
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")

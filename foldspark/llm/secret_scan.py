@@ -25,10 +25,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der")
-SPANS = "array<struct<kind: string, start: long, end: long>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()),
+                              StructField("end", LongType())]))
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
@@ -190,7 +192,7 @@ def redacted(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _redact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: redacted(t) if t else t)
 
