@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, packing, quality_rules, secret_scan, simhash
+from foldspark.llm import bpe, packing, quality_rules, secret_scan, simhash, toxicity
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(column):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+@_query
+def op1_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~_held_out("doc_id"))
+    scored = toxicity.with_score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(_held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op5_packing(spark, sf_dir):
     pieces = packing.pack(_table(spark, sf_dir, "documents"),
