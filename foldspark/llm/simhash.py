@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from foldspark.llm import golay
+from foldspark.llm.frames import Aside
 from foldspark.operators.graph import components
 from foldspark.session import cut
 
@@ -259,13 +260,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each component: that of the lowest id, null ids
     last; of several rows with that id one stays."""
     # A row is known by its id and a hash over all of its columns.
-    whole = F.xxhash64(*(docs[c] for c in docs.columns))
-    number = F.coalesce(docs[id_col].cast("long"), F.lit(-1))
-    rows = cut(docs.select(
-        F.struct(docs[id_col].isNull().alias("no"), number.alias("number"), whole.alias("whole")).alias("id"),
-        _fingerprints(docs[text_col].cast("string")).alias("print")))
+    own = Aside(docs)
+    whole = F.xxhash64(*own.frame.columns)
+    number = F.coalesce(own.column(id_col).cast("long"), F.lit(-1))
+    rows = cut(own.frame.select(
+        F.struct(own.column(id_col).isNull().alias("no"), number.alias("number"),
+                 whole.alias("whole")).alias("id"),
+        _fingerprints(own.column(text_col).cast("string")).alias("print")))
     kept = classes(rows).select(F.col("lowest.number").alias("_number"),
                                 F.col("lowest.whole").alias("_whole")).distinct()
-    marked = docs.withColumns({"_number": number, "_whole": whole})
-    return (marked.join(kept, ["_number", "_whole"], "left_semi")
-            .dropDuplicates(["_number", "_whole"]).drop("_number", "_whole"))
+    marked = own.frame.withColumns({"_number": number, "_whole": whole})
+    return own.restore(marked.join(kept, ["_number", "_whole"], "left_semi")
+                       .dropDuplicates(["_number", "_whole"]))
