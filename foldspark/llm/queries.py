@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, packing, quality_rules, secret_scan, simhash, toxicity
+from foldspark.llm import bpe, packing, quality_rules, secret_scan, simhash, toxicity, url_filter
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,16 @@ def op1_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
+             url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
+             url_filter.Rule("block", "com", "/de/")]
+
+
+@_query
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @_query
 def op5_packing(spark, sf_dir):
     pieces = packing.pack(_table(spark, sf_dir, "documents"),
