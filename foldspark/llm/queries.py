@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, packing, quality_rules, secret_scan, simhash, topk, toxicity, url_filter
+from foldspark.llm import bpe, masked_lm, packing, quality_rules, secret_scan, simhash, topk, toxicity, url_filter
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op9_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op10_masked_lm(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.fit(docs))
