@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, masked_lm, packing, quality_rules, secret_scan, simhash, topk, toxicity, url_filter
+from foldspark.llm import bpe, chat, masked_lm, packing, quality_rules, secret_scan, simhash, topk, toxicity, url_filter
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,31 @@ def op1_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+# Speaker markers of four transcript styles, by role.
+STYLES = [("System: ", "User: ", "Assistant: "), ("### Instructions: ", "### Human: ", "### Bot: "),
+          ("[system] ", "[user] ", "[assistant] "), ("Context: ", "Q: ", "A: ")]
+
+
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """``conversations`` as raw transcripts: every conversation in one of
+    ``STYLES``, with one turn in five lacking its marker."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, chat.ROLES)), F.lower("role")), F.lit(0)).cast("int")
+    table = F.array(*(F.array(*map(F.lit, s)) for s in STYLES))
+    mark = F.coalesce(F.get(F.get(table, style), number - 1), F.lit(""))
+    bare = F.pmod(F.xxhash64("conv_id", "turn", F.lit("bare")), F.lit(5)) == 0
+    return conversations.withColumn("text", F.concat(
+        F.when(bare, "").otherwise(mark), F.coalesce("text", F.lit(""))))
+
+
+@_query
+def op2_chat_roles(spark, sf_dir):
+    raw = transcripts(_table(spark, sf_dir, "conversations"))
+    lines = chat.observed(chat.lines_of(raw, "conv_id", "text", "turn", "role"))
+    model = chat.fit(lines.filter(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0))
+    return chat.parse(lines, model).withColumnRenamed("id", "conv_id")
+
+
 @_query
 def op3_topk(spark, sf_dir):
     vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
