@@ -217,7 +217,8 @@ _LINKS = "a long, b long, key long"
 
 def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     """``(a, b)`` over distinct fingerprints (one column ``print``), which
-    connect what links connect. Not all links are listed."""
+    connect just what links connect: a pair is of one component, but need not
+    be a link itself."""
     keyed = prints.mapInArrow(_keyed, "key long, print long")
     found = cut(keyed.repartition("key").sortWithinPartitions("key")
                 .mapInArrow(lambda batches: _linked(batches, tile), _LINKS))
