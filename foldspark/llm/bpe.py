@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from foldspark.llm.chunks import PieceTable
 
 # Texts are encoded this many at a time within an Arrow batch.
-_TEXTS = 4000
+_TEXTS = 1000
+# Pieces the table of a worker holds.
+_PIECES = 250_000
 _NONE = np.int64(1 << 40)
 
 
@@ -165,7 +167,7 @@ def _table(path: str, pattern: str) -> PieceTable:
         ids = replay([w.encode() for w in words], vocab)
         known = {w: i.astype("<i4").tobytes() for w, i in zip(words, ids, strict=True)}
         return [b"".join([known[w] for w in p]) for p in parts]
-    return PieceTable(encode_many)
+    return PieceTable(encode_many, _PIECES)
 
 
 def _lists(values: list[bytes]) -> pa.Array:
@@ -193,10 +195,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 def _decoded(batches, path: str):
     vocab = vocabulary(path)
     for b in batches:
-        lists = b.column("ids")
-        texts = [vocab.decode(np.asarray(i.values)) if i.is_valid else b"" for i in lists]
-        yield pa.record_batch([b.column("doc_id"), lists, pa.array(texts, pa.binary())],
-                              names=["doc_id", "ids", "decoded"])
+        for at in range(0, b.num_rows, _TEXTS):
+            part = b.slice(at, _TEXTS)
+            lists = part.column("ids")
+            texts = [vocab.decode(i.values.to_numpy(zero_copy_only=False)) if i.is_valid else b""
+                     for i in lists]
+            yield pa.record_batch([part.column("doc_id"), lists, pa.array(texts, pa.binary())],
+                                  names=["doc_id", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

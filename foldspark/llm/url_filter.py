@@ -36,7 +36,7 @@ LONGEST_WORD = 20
 # No host label is longer; longer runs of letters are cut into parts of this length.
 LONGEST_LABEL = 63
 ALL_SHARE, SEED_PART = 0.8, 0.3
-SMOOTHING = 0.5
+SMOOTHING = 20.0
 # Share of URLs to be blocked, before any word is seen.
 BLOCKED_PRIOR = 0.4
 
@@ -167,13 +167,16 @@ def _odds(tokens: DataFrame) -> DataFrame:
     sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "blocked", "allowed")),
                       F.count(F.lit(1)).alias("size")).first()
 
+    # Each class starts from the words of all URLs, as so many words of its own.
+    overall = (F.col("n") + 0.5) / (sums["n"] + 0.5 * (sums["size"] + 1))
+
     def share(column):
-        return (F.col(column) + SMOOTHING) / (sums[column] + SMOOTHING * (sums["size"] + 1))
+        return (F.col(column) + SMOOTHING * overall) / (sums[column] + SMOOTHING)
 
     seed = F.when(F.col("token").isin(*SEEDS), 1.0 / len(SEEDS)).otherwise(0.0)
     blocked = (1 - ALL_SHARE) * share("blocked") + ALL_SHARE * (
-        SEED_PART * seed + (1 - SEED_PART) * share("n"))
-    allowed = (1 - ALL_SHARE) * share("allowed") + ALL_SHARE * share("n")
+        SEED_PART * seed + (1 - SEED_PART) * overall)
+    allowed = (1 - ALL_SHARE) * share("allowed") + ALL_SHARE * overall
     return counts.select("token", F.log(blocked / allowed).alias("odds"))
 
 
