@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.session import cut
+from foldspark.session import Rounds
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,14 @@ def _fingerprint(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100, rounds: Rounds | None = None) -> DataFrame:
     """``(id, comp)`` for every id occurring in ``edges(a, b)``; comp is the
-    component's lowest id. Rounds are logarithmic in the component size."""
+    component's lowest id. Rounds are logarithmic in the component size. The last
+    round's table stays; a caller's ``rounds`` lets the caller delete it."""
     links = edges.filter(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = cut(links)
+    rounds = rounds or Rounds(edges.sparkSession)
+    links = rounds.keep("links", links)
     before = _fingerprint(links)
     for _ in range(max_rounds):
         # large star: neighbours above u move to the lowest neighbour
@@ -41,7 +43,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         small = down.select(F.explode(F.array(
             F.struct(F.col("v").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("_e")).select("_e.a", "_e.b")
-        links = cut(small.filter(F.col("a") != F.col("b")).distinct())
+        links = rounds.keep("links", small.filter(F.col("a") != F.col("b")).distinct())
         after = _fingerprint(links)
         if after == before:
             break

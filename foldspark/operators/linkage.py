@@ -19,7 +19,7 @@ from foldspark.operators.graph import components
 from foldspark.operators.pairwise import pair_reduce, row_pairs, shape_of
 from foldspark.operators.shape import dense_index
 from foldspark.operators.spanning import spanning_tree
-from foldspark.session import cut
+from foldspark.session import Rounds
 
 METHODS = ("single", "complete", "average", "weighted", "ward")
 # At most this many clusters (a 256 x 256 matrix) are merged in one step.
@@ -101,7 +101,7 @@ def _finish(pairs: DataFrame, method: str, start: int) -> DataFrame:
             .applyInPandas(_last_merges(method, start), _EVENT))
 
 
-def _table_rounds(pairs: DataFrame, method: str, rows: int, finish_below: int) -> list[DataFrame]:
+def _table_rounds(pairs: DataFrame, method: str, rows: int, finish_below: int, kept: Rounds) -> list[DataFrame]:
     """``pairs(a, b, d)`` holds every two clusters' distance; sizes and node
     numbers travel with it, so a round is one aggregate, one join of mutual
     pairs and one regrouping."""
@@ -110,7 +110,7 @@ def _table_rounds(pairs: DataFrame, method: str, rows: int, finish_below: int) -
                          F.col("a").alias("node_a"), F.col("b").alias("node_b"))
     events, turn, left = [], 0, rows
     while left > max(1, finish_below):
-        pairs = cut(pairs)
+        pairs = kept.keep("pairs", pairs)
         ends = pairs.select(F.explode(F.array(*[
             F.struct(F.col(p).alias("id"), "d", F.col("a").alias("lo"), F.col("b").alias("hi"),
                      F.col(q).alias("near"), F.col(f"n{p}").alias("n"), F.col(f"node_{p}").alias("node"),
@@ -119,7 +119,7 @@ def _table_rounds(pairs: DataFrame, method: str, rows: int, finish_below: int) -
         rest = [c for c in ends.columns if c not in ("id", "d", "lo", "hi")]
         near = (ends.groupBy("id").agg(F.min(F.struct("d", "lo", "hi", *rest)).alias("_m"))
                 .select("id", "_m.d", *[f"_m.{c}" for c in rest]))
-        merged = cut(_mutual(near, rows, turn))
+        merged = kept.keep(f"merged{turn}", _mutual(near, rows, turn))
         count = merged.count()
         events.append(merged.drop("na", "nb"))
         # what every merged cluster becomes and the share it brings to the union
@@ -176,7 +176,7 @@ def _tree_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "left", "right", "a", "b", "height", "size"])
 
 
-def _tree_merges(tree: DataFrame, rows: int, block: int) -> DataFrame:
+def _tree_merges(tree: DataFrame, rows: int, block: int, kept: Rounds) -> DataFrame:
     """Single-linkage merges of a spanning tree.
 
     The edges in height order are halved level by level: the upper half sees the
@@ -191,7 +191,7 @@ def _tree_merges(tree: DataFrame, rows: int, block: int) -> DataFrame:
         F.lit(rows - 1).cast("long").alias("high"))
     span = rows - 1
     while span > block:
-        edges = cut(edges.withColumn("mid", F.shiftright(F.col("low") + F.col("high"), 1)))
+        edges = kept.keep(f"edges{span}", edges.withColumn("mid", F.shiftright(F.col("low") + F.col("high"), 1)))
         lower, upper = edges.filter("step < mid"), edges.filter("step >= mid")
         # vertices are rows, unique within a block; a block's own number keeps blocks apart
         name = F.col("low") * F.lit(rows).cast("long")
@@ -204,7 +204,7 @@ def _tree_merges(tree: DataFrame, rows: int, block: int) -> DataFrame:
                                      F.floor(F.col("id") / rows).alias("low"),
                                      (F.col("comp") % rows).alias("to")), ["low", "id"]))
         total = members.groupBy("low", "to").agg(F.sum("n").alias("_n"), F.max("step").alias("_last"))
-        became = cut(members.select("low", "id", "to").join(total, ["low", "to"]))
+        became = kept.keep(f"became{span}", members.select("low", "id", "to").join(total, ["low", "to"]))
         for c in "ab":
             m = became.withColumnRenamed("id", c)
             upper = upper.join(m, ["low", c], "left").select(
@@ -246,7 +246,7 @@ def _ward_pairs(a, b, d):
             "node_a": a.node[i], "node_b": b.node[j]}
 
 
-def _ward_rounds(x: DataFrame, rows: int, width: int, finish_below: int) -> list[DataFrame]:
+def _ward_rounds(x: DataFrame, rows: int, width: int, finish_below: int, kept: Rounds) -> list[DataFrame]:
     """State is one centroid per cluster; the pairwise part never leaves the kernel."""
     state = x.select(F.col("row_id").cast("long").alias("row_id"), "v",
                      F.lit(1).cast("long").alias("n"), F.col("row_id").cast("long").alias("node"))
@@ -254,11 +254,11 @@ def _ward_rounds(x: DataFrame, rows: int, width: int, finish_below: int) -> list
     schema = "id long, d double, lo long, hi long, " + ", ".join(f"{c} long" for c in rest)
     events, turn, left = [], 0, rows
     while left > max(1, finish_below):
-        state = cut(state)
+        state = kept.keep("state", state)
         found = pair_reduce(state, _ward_near, schema, _SIDES, (left, width))
         near = (found.groupBy("id").agg(F.min(F.struct("d", "lo", "hi", *rest)).alias("_m"))
                 .select("id", "_m.d", *[f"_m.{c}" for c in rest]))
-        merged = cut(_mutual(near, rows, turn))
+        merged = kept.keep(f"merged{turn}", _mutual(near, rows, turn))
         count = merged.count()
         events.append(merged.drop("na", "nb"))
         grown = (merged.join(state.select(F.col("row_id").alias("b"), F.col("v").alias("vb")), "b")
@@ -273,7 +273,7 @@ def _ward_rounds(x: DataFrame, rows: int, width: int, finish_below: int) -> list
         left -= count
         turn += 1
     if left > 1:
-        pairs = pair_reduce(cut(state), _ward_pairs, "a long, b long, d double, na long, nb long, "
+        pairs = pair_reduce(kept.keep("state", state), _ward_pairs, "a long, b long, d double, na long, nb long, "
                             "node_a long, node_b long", _SIDES, (left, width))
         events.append(_finish(pairs, "ward", rows * (turn + 1)))
     return events
@@ -287,16 +287,17 @@ def merge_events(x: DataFrame, method: str = "average", finish_below: int = FINI
     rows, width = shape_of(x)
     if rows < 2:
         return x.sparkSession.createDataFrame([], "step long, " + _EVENT)
+    kept = Rounds(x.sparkSession)
     if method == "single":
-        events = [_tree_merges(spanning_tree(x), rows, TREE_BLOCK)]
+        events = [_tree_merges(spanning_tree(x), rows, TREE_BLOCK, kept)]
     elif method == "ward":
-        events = _ward_rounds(x, rows, width, finish_below)
+        events = _ward_rounds(x, rows, width, finish_below, kept)
     else:
-        events = _table_rounds(row_pairs(x), method, rows, finish_below)
+        events = _table_rounds(row_pairs(x), method, rows, finish_below, kept)
     out = events[0]
     for e in events[1:]:
         out = out.unionByName(e)
-    return dense_index(out, ["height", "node"], "step")
+    return kept.result(dense_index(out, ["height", "node"], "step"))
 
 
 def linkage_matrix(events: DataFrame, rows: int) -> DataFrame:

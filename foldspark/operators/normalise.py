@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import log2_plus_one, safe_divide
 from foldspark.schemas import FRAME_KEY
-from foldspark.session import cut
+from foldspark.session import Rounds, cut
 
 # A frame of at most this many beads (8 MB of doubles) is balanced as one
 # packed matrix; a larger one is balanced in long form across the cluster.
@@ -95,8 +95,9 @@ def _long_form(square: DataFrame, rounds: int, tol: float, balanced: bool) -> Da
     square = cut(square)
     state = square.groupBy(node).agg(
         F.lit(1.0).alias("b"), F.lit(1.0).alias("prev"), F.lit(False).alias("done"))
+    kept = Rounds(square.sparkSession)
     for _ in range(rounds):
-        state = cut(state)
+        state = kept.keep("state", state)
         if state.filter(~F.col("done")).isEmpty():
             break
         bias = state.select(*node, "b")
@@ -121,7 +122,7 @@ def _long_form(square: DataFrame, rounds: int, tol: float, balanced: bool) -> Da
                          F.when(F.col("done"), F.col("prev")).otherwise(F.col("b")).alias("prev"),
                          (F.col("done") | (F.col("_change") < tol)).alias("done")))
     final = F.sqrt(F.col("b") * F.col("prev")) if balanced else F.col("b")
-    bias = cut(state.select(*node, final.alias("b")))
+    bias = kept.result(state.select(*node, final.alias("b")))
     scaled = (square.join(bias.withColumnRenamed("b", "bi"), node)
               .join(bias.withColumnRenamed("i", "j").withColumnRenamed("b", "bj"),
                     [*FRAME_KEY, "j"]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foldspark.operators.graph import components
 from foldspark.operators.pairwise import pair_reduce, shape_of
-from foldspark.session import cut
+from foldspark.session import Rounds
 
 FINISH_BELOW = 256
 
@@ -94,18 +94,19 @@ def spanning_tree(x: DataFrame, core: bool = False, finish_below: int = FINISH_B
     size = shape_of(x)
     state = x.select("row_id", *extra, "v", F.col("row_id").cast("long").alias("comp"))
     edges, left = [], size[0]
+    rounds = Rounds(x.sparkSession)
     while left > max(1, finish_below):
-        state = cut(state)
+        state = rounds.keep("state", state)
         found = pair_reduce(state, _leaving, _LINK, ("comp", *extra), size)
         order = F.struct("d", "lo", "hi", "other")
-        best = cut(found.groupBy("comp").agg(F.min(order).alias("_m")).select("comp", "_m.*"))
+        best = rounds.keep(f"best{len(edges)}", found.groupBy("comp").agg(F.min(order).alias("_m")).select("comp", "_m.*"))
         edges.append(best.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "d").distinct())
-        merged = components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")))
-        merged = cut(merged.withColumnRenamed("comp", "_to").withColumnRenamed("id", "comp"))
+        merged = components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")), rounds=rounds)
+        merged = rounds.keep(f"merged{len(edges) % 2}", merged.withColumnRenamed("comp", "_to").withColumnRenamed("id", "comp"))
         left = merged.select("_to").distinct().count()
         state = state.join(merged, "comp").select("row_id", *extra, "v", F.col("_to").alias("comp"))
     if left > 1:
-        state = cut(state)
+        state = rounds.keep("state", state)
         links = pair_reduce(state, _between, _LINK, ("comp", *extra), size)
         links = links.groupBy("comp", "other").agg(
             F.min(F.struct("d", "lo", "hi")).alias("_m")).select("comp", "other", "_m.*")
@@ -116,4 +117,4 @@ def spanning_tree(x: DataFrame, core: bool = False, finish_below: int = FINISH_B
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return cut(out)
+    return rounds.result(out)

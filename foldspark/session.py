@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +17,6 @@ _SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
 }
-# Work folders of local sessions that name none.
-_LOCAL: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
@@ -30,17 +26,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder."""
+    ``spark.checkpoint.dir``, else one in the session's warehouse, which the
+    driver and the executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="foldspark-")
-    return _LOCAL[app]
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/foldspark-state"
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +50,42 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a stored table by the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Rounds:
+    """Stored tables of a loop by name. A table replaces the one kept under the
+    same name before, which is deleted once the new one is written; so whatever
+    still reads a kept table must be stored before the name is used again."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._paths: dict[str, str] = {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = fresh_path(self._spark, "state")
+        df.write.parquet(path)
+        before, self._paths[name] = self._paths.get(name), path
+        if before:
+            delete(self._spark, before)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all kept tables."""
+        for path in self._paths.values():
+            delete(self._spark, path)
+        self._paths.clear()
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Store ``df`` on its own and delete all kept tables."""
+        out = cut(df)
+        self.clear()
+        return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; unlike ``cut`` it keeps row order and partitioning."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_frame
+from foldspark import session
 from foldspark.operators import (density, evaluate, graph, kmeans, layout, linkage, model, pairwise,
                                  reduce, spanning, spectral)
 from foldspark.plans import analysis
@@ -236,3 +237,25 @@ def test_sweep_scores_each_setting(spark):
                          n_clusters=2, n_iterations=1).collect()
     assert {(r.metric, r.norm) for r in out} == {("euclidean", "vc"), ("euclidean", "none")}
     assert all(-1 <= r.silhouette <= 1 for r in out)
+
+
+def test_linkage_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    from foldspark.operators import linkage
+
+    def tables(folder):
+        return {d for d, _, files in os.walk(folder) if any(f.endswith(".parquet") for f in files)}
+
+    folder = session.shared_dir(spark)
+    rows = rows_frame(spark, np.random.default_rng(3).normal(size=(60, 4)))
+    for method in ("ward", "average"):
+        before = tables(folder)
+        linkage.merge_events(rows, method, finish_below=8).count()
+        assert len(tables(folder) - before) == 1
+
+
+def test_shared_folder_is_never_a_temporary_one(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert session.shared_dir(spark) == folder.rstrip("/")
+    assert not hasattr(session, "tempfile")
