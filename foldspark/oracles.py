@@ -172,8 +172,8 @@ FROM grid LEFT JOIN pairs USING ({KEY}, i, j) GROUP BY ALL"""
 ORACLES["shp_flatten"] = f"""WITH {BEADS}, {WIDTH}, {pairs('euclidean')}
 SELECT {KEY}, {F_INDEX} AS f, {r6('v')} AS v FROM pairs, w"""
 ORACLES["shp_stack"] = f"""WITH {BEADS}
-SELECT {KEY}, row_number() OVER (ORDER BY CASE label WHEN 'C' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, replica, frame) - 1 AS row_id
-FROM (SELECT DISTINCT {KEY} FROM beads WHERE label IN ('C', 'A', 'D'))"""
+SELECT {KEY}, row_number() OVER (ORDER BY CASE label WHEN 'C' THEN 0 WHEN 'A' THEN 1 WHEN 'D' THEN 2 ELSE 3 END, replica, frame) - 1 AS row_id
+FROM (SELECT DISTINCT {KEY} FROM beads)"""
 ORACLES["shp_square"] = f"""WITH {BEADS}, {pairs('euclidean')}
 SELECT {KEY}, i, j, {r6('v')} AS v FROM pairs
 UNION ALL SELECT {KEY}, j, i, {r6('v')} FROM pairs
@@ -220,7 +220,8 @@ SELECT {KEY}, bead, {r6('CASE WHEN z <> 0 THEN x / z ELSE 0.0 END')} AS ratio FR
 ORACLES["flt_bootstrap"] = f"""WITH d AS (
   SELECT range AS draw, CAST('0x' || substr(md5(range || '-42'), 1, 12) AS BIGINT)
          % (SELECT count(*) FROM embeddings) AS row_id FROM range(300))
-SELECT draw, row_id, label AS cluster, {r6('CAST(embedding[1] AS DOUBLE)')} AS v1
+SELECT draw, row_id, label AS cluster, len(embedding) AS width,
+  {r6('list_sum([x::DOUBLE FOR x IN embedding])')} AS total
 FROM d JOIN embeddings ON vec_id = row_id"""
 
 # ---- distances and norms ---------------------------------------------------
@@ -266,6 +267,8 @@ JOIN b{rounds} x ON {keyed('p', 'x')} AND p.i = x.i JOIN b{rounds} y ON {keyed('
 ORACLES["nrm_ice_10"] = balancing("euclidean", 10)
 ORACLES["nrm_kr_10"] = balancing("contact", 10)
 ORACLES["nrm_ice_asymmetric"] = balancing("spearman", 10)
+ORACLES["nrm_balanced"] = f"""WITH {BEADS}, f AS (SELECT {KEY}, count(*) AS n FROM beads GROUP BY {KEY})
+SELECT {KEY}, bead AS i, n, CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END AS row_sum FROM beads JOIN f USING ({KEY})"""
 
 
 # ---- preprocessing and X ---------------------------------------------------
@@ -362,10 +365,12 @@ _LONG = f"""long AS (SELECT {KEYS4}, 'silhouette' AS score, silhouette AS value,
 ORACLES["log_best"] = f"""{_SUMMARY}, {_LONG.format('summary')}
 SELECT score, {KEYS4}, {r6('value')} AS value FROM long
 QUALIFY row_number() OVER (PARTITION BY score ORDER BY good DESC, {KEYS4}) = 1"""
-ORACLES["log_pivot"] = f"WITH {METRICS_RAW} SELECT technique, method, " + ", ".join(
-    f"round(avg(ch) FILTER (metric = '{m}' AND norm = '{n}'), 6) + 0.0 AS {m}_{n}"
-    for m in ("contact", "euclidean", "log2_contact", "pearsons", "spearman")
-    for n in ("log_transform", "vc", "kr", "ice")) + " FROM metrics GROUP BY ALL"
+ORACLES["log_pivot"] = f"WITH {METRICS_RAW} " + " UNION ALL ".join(
+    f"SELECT '{s}' AS score, technique, method, " + ", ".join(
+        f"round(avg({s}) FILTER (metric = '{m}' AND norm = '{n}'), 6) + 0.0 AS {m}_{n}"
+        for m in ("contact", "euclidean", "log2_contact", "pearsons", "spearman")
+        for n in ("log_transform", "vc", "kr", "ice")) + " FROM metrics GROUP BY ALL"
+    for s in ("silhouette", "ch", "db"))
 ORACLES["log_best_worst"] = f"""{_SUMMARY}, {_LONG.format('summary')},
 ends AS (SELECT score, technique, max(good) AS best, min(good) AS worst FROM long GROUP BY ALL)
 SELECT score, {KEYS4}, {r6('value')} AS value, good = best AS is_best
@@ -408,8 +413,6 @@ SELECT p.f, q.f AS g, {r6('covar_samp(p.t, q.t)')} AS cov FROM cells p JOIN cell
 WHERE p.f <= q.f GROUP BY p.f, q.f"""
 ORACLES["red_variance_total"] = f"""WITH {EMB}, {CELLS}
 SELECT {r6('sum(s)')} AS total FROM (SELECT var_samp(t) AS s FROM cells GROUP BY f)"""
-ORACLES["red_top_loadings"] = f"""WITH {EMB}, {CELLS}
-SELECT f, {r6('abs(avg(t))')} AS importance FROM cells GROUP BY f ORDER BY abs(avg(t)) DESC LIMIT 10"""
 ORACLES["red_n95"] = f"""WITH {EMB}, {CELLS}, s AS (SELECT f + 1 AS k, var_samp(t) AS s FROM cells GROUP BY f),
 c AS (SELECT k, sum(s) OVER (ORDER BY k) / sum(s) OVER () AS c FROM s)
 SELECT coalesce(min(k) FILTER (c >= 0.95), 1) AS k FROM c"""
@@ -542,6 +545,7 @@ SELECT row_id, {r6('sum((t - m) * (t - m))')} AS norm FROM cells JOIN m USING (f
 # ---- one merge at a time ---------------------------------------------------
 
 _UNION = {
+    "single": "least(x.d, y.d)",
     "complete": "greatest(x.d, y.d)",
     "average": "(np * x.d + nq * y.d) / (np + nq)",
     "weighted": "(x.d + y.d) / 2",
@@ -580,3 +584,64 @@ SELECT step, least(l, r) AS a, greatest(l, r) AS b, {r6('height')} AS height, si
 
 for _m in _UNION:
     ORACLES[f"lnk_{_m}"] = greedy_linkage(_m)
+
+_WARD = greedy_linkage("ward")
+ORACLES["lnk_truncated"] = f"{_WARD} ORDER BY step DESC LIMIT 9"
+# A cluster is named by its lowest row: follow the merges below the cut.
+ORACLES["clu_hierarchical"] = _WARD.partition("ids AS (SELECT m.step")[0] + """low AS (
+  SELECT p, q FROM m WHERE step < (SELECT count(*) FROM emb) - 5),
+up(row_id, root) AS (SELECT row_id, row_id FROM emb
+  UNION ALL SELECT up.row_id, low.p FROM up JOIN low ON low.q = up.root),
+named AS (SELECT row_id, min(root) AS root FROM up GROUP BY row_id)
+SELECT row_id, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS cluster FROM named"""
+ORACLES["evl_reachability"] = f"SELECT row_id, ord, reach FROM ({ORACLES['clu_optics_order']})"
+
+
+def spectrum(centred: bool) -> str:
+    """Three leading eigenpairs of the (centred) products by repeated squaring of
+    the matrix, deflated after each: ``pairs(k, value, vector)``."""
+    entry = "covar_samp(p.t, q.t)" if centred else "sum(p.t * q.t)"
+    ctes = [EMB, CELLS, f"""entry AS (SELECT p.f AS f, q.f AS g, {entry} AS c
+  FROM cells p JOIN cells q USING (row_id) GROUP BY p.f, q.f)""",
+            "m1 AS MATERIALIZED (SELECT list(r ORDER BY f) AS m FROM (SELECT f, list(c ORDER BY g) AS r FROM entry GROUP BY f))",
+            "total AS (SELECT sum(c) AS t FROM entry WHERE f = g)"]
+    for k in (1, 2, 3):
+        ctes.append(f"""s{k}(step, m) AS (SELECT 0, m FROM m{k} UNION ALL
+  SELECT step + 1, [[x / t FOR x IN r] FOR r IN n] FROM (SELECT step, n, list_sum([n[i][i] FOR i IN range(1, len(n) + 1)]) AS t FROM (
+    SELECT step, [[list_inner_product(r, c) FOR c IN m] FOR r IN m] AS n FROM s{k} WHERE step < 18)))""")
+        ctes.append(f"""w{k} AS (SELECT m[top] AS r FROM (SELECT m, list_position(d, list_max(d)) AS top FROM (
+  SELECT m, [m[i][i] FOR i IN range(1, len(m) + 1)] AS d FROM s{k} WHERE step = 18)))""")
+        ctes.append(f"""u{k} AS (SELECT [x / sqrt(list_inner_product(r, r)) FOR x IN r] AS v FROM w{k})""")
+        ctes.append(f"""e{k} AS MATERIALIZED (SELECT v, list_inner_product(v, [list_inner_product(r, v) FOR r IN m]) AS value FROM u{k}, m{k})""")
+        ctes.append(f"""m{k + 1} AS MATERIALIZED (SELECT [[m[i][j] - value * v[i] * v[j] FOR j IN range(1, len(v) + 1)]
+  FOR i IN range(1, len(v) + 1)] AS m FROM m{k}, e{k})""")
+    pairs_ = " UNION ALL ".join(f"SELECT {k} AS k, value, v FROM e{k}" for k in (1, 2, 3))
+    # the largest loading of each component is positive
+    ctes.append(f"""pairs AS MATERIALIZED (SELECT k, value, CASE WHEN list_max(v) >= -list_min(v) THEN v ELSE [-x FOR x IN v] END AS v
+  FROM ({pairs_}))""")
+    return "WITH RECURSIVE " + ", ".join(ctes)
+
+
+ORACLES["red_pca"] = f"{spectrum(True)} SELECT k, {r6('value')} AS value, {r6('value / t')} AS ratio FROM pairs, total"
+ORACLES["red_svd"] = f"{spectrum(False)} SELECT k, {r6('sqrt(value)')} AS value, {r6('value / t')} AS ratio FROM pairs, total"
+ORACLES["red_top_loadings"] = f"""{spectrum(True)}, l AS (SELECT unnest(range(len(v))) AS f, unnest(v) AS x FROM pairs WHERE k = 1)
+SELECT f, {r6('abs(x)')} AS importance FROM l ORDER BY abs(x) DESC, f LIMIT 10"""
+ORACLES["red_pca_scores"] = f"""{spectrum(True)}, mean AS (SELECT list(a ORDER BY f) AS a FROM (SELECT f, avg(t) AS a FROM cells GROUP BY f)),
+e AS (SELECT row_id, k, list_inner_product([x[1] - x[2] FOR x IN list_zip(emb.v, a)], pairs.v) AS e FROM emb, mean, pairs)
+SELECT row_id, {r6('max(e) FILTER (k = 1)')} AS c1, {r6('max(e) FILTER (k = 2)')} AS c2 FROM e GROUP BY row_id"""
+ORACLES["red_umap_graph"] = f"""WITH RECURSIVE {EMB}, {ALL_PAIRS}, {_KNN},
+near AS MATERIALIZED (SELECT a, list(greatest(d - rho, 0)) AS gap, any_value(rho) AS rho, avg(d) AS mean FROM (
+  SELECT a, d, min(d) FILTER (d > 0) OVER (PARTITION BY a) AS rho FROM knn WHERE rank <= 14) GROUP BY a),
+turn(step, a, lo, hi, s, done) AS (
+  SELECT 0, a, 0.0::DOUBLE, 'Infinity'::DOUBLE, 1.0::DOUBLE, false FROM near
+  UNION ALL
+  SELECT step + 1, a, CASE WHEN done OR abs(total - log2(15)) < 1e-5 OR total > log2(15) THEN lo ELSE s END,
+         CASE WHEN done OR abs(total - log2(15)) < 1e-5 OR total <= log2(15) THEN hi ELSE s END,
+         CASE WHEN done OR abs(total - log2(15)) < 1e-5 THEN s WHEN total > log2(15) THEN (lo + s) / 2
+              WHEN isinf(hi) THEN s * 2 ELSE (s + hi) / 2 END,
+         done OR abs(total - log2(15)) < 1e-5
+  FROM (SELECT turn.*, list_sum([exp(-g / s) FOR g IN gap]) AS total FROM turn JOIN near USING (a) WHERE step < 64)),
+scale AS (SELECT a, greatest(s, 1e-3 * mean) AS sigma, rho FROM turn JOIN near USING (a) WHERE step = 64),
+w AS (SELECT least(a, b) AS i, greatest(a, b) AS j, exp(-greatest(d - rho, 0) / sigma) AS w
+  FROM knn JOIN scale USING (a) WHERE rank <= 14)
+SELECT i, j, round(sum(w) - CASE WHEN count(*) > 1 THEN max(w) * min(w) ELSE 0 END, 4) AS w FROM w GROUP BY i, j"""

@@ -33,8 +33,8 @@ def select_beads(beads: DataFrame, bead_types: DataFrame, kind: str) -> DataFram
             .withColumn("bead", F.col("_new")).select(beads.columns))
 
 
-def load_beads(spark: SparkSession, datasets: dict[str, str], replicas: tuple[int, int] = (0, 100),
-               stride: int = 2000, kind: str | None = None, bead_types: DataFrame | None = None,
+def load_beads(spark: SparkSession, datasets: dict[str, str], *, replicas: tuple[int, int],
+               stride: int, kind: str | None = None, bead_types: DataFrame | None = None,
                pad_frames: bool = False, pad_beads: bool = False) -> DataFrame:
     """Registered data sets (label -> folder) as one bead table.
 

@@ -37,6 +37,13 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def reduce_frames(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def row_sums(x: DataFrame, *keep: str) -> DataFrame:
     """Plain, position-weighted and squared sums of each packed row."""
     def total(a):
@@ -104,7 +111,7 @@ def src_log_scan(spark, sf):
 def snk_beads_roundtrip(spark, sf):
     path = _stored_beads(spark, sf)
     folders = {label: f"{path}/label={label}" for label in tables.LABELS}
-    return rounded(trajectories.load_beads(spark, folders, stride=1), "x", "y", "z")
+    return rounded(trajectories.load_beads(spark, folders, replicas=(0, 100), stride=1), "x", "y", "z")
 
 
 @query
@@ -167,7 +174,7 @@ def shp_flatten(spark, sf):
 
 @query
 def shp_stack(spark, sf):
-    return shape.stack(tables.beads(spark, sf), ["C", "A", "D"])
+    return shape.stack(tables.beads(spark, sf), ["C", "A", "D", "B"])
 
 
 @query
@@ -259,7 +266,8 @@ def flt_safe_divide(spark, sf):
 @query
 def flt_bootstrap(spark, sf):
     drawn = clean.bootstrap(tables.features(spark, sf), 300, seed=42)
-    return drawn.select("draw", "row_id", "cluster", r6(F.element_at("v", 1)).alias("v1"))
+    total = F.aggregate("v", F.lit(0.0), lambda acc, t: acc + t)
+    return drawn.select("draw", "row_id", "cluster", F.size("v").alias("width"), r6(total).alias("total"))
 
 
 # ---- distances and norms ---------------------------------------------------
@@ -431,7 +439,9 @@ def log_best(spark, sf):
 @query
 def log_pivot(spark, sf):
     cells = [f"{m}_{n}" for m in tables.METRICS for n in tables.NORMS]
-    return rounded(report.pivot_scores(tables.metrics_raw(spark, sf), "ch", cells), *cells)
+    scores = [report.pivot_scores(tables.metrics_raw(spark, sf), s, cells).withColumn("score", F.lit(s))
+              for s in ("silhouette", "ch", "db")]
+    return rounded(reduce_frames(scores), *cells)
 
 
 @query
@@ -504,10 +514,8 @@ def red_variance_total(spark, sf):
 
 @query
 def red_top_loadings(spark, sf):
-    """Ten largest mean features, standing in for a first component."""
-    means = (_rows(spark, sf).select(F.posexplode("v").alias("f", "t"))
-             .groupBy("f").agg(F.avg("t").alias("loading")))
-    return rounded(reduce.top_loadings(means.withColumn("k", F.lit(1))), "importance")
+    """Ten largest loadings of the first component."""
+    return rounded(analysis.run_reduction("pca", _rows(spark, sf), 1)[1]["top_loadings"], "importance")
 
 
 @query
@@ -604,7 +612,7 @@ def red_umap_graph(spark, sf):
 
 @query
 def red_mds_stress(spark, sf):
-    y, history = layout.mds(_rows(spark, sf), 2, max_iter=12)
+    y, history = layout.mds(_rows(spark, sf), 2)
     return y.select("row_id", F.lit(history[-1]).alias("stress"),
                     F.element_at("y", 1).alias("c1"), F.element_at("y", 2).alias("c2"))
 
@@ -631,18 +639,18 @@ def clu_inertia_k1(spark, sf):
 
 @query
 def clu_kmeans(spark, sf):
-    assign, facts = kmeans.kmeans(_rows(spark, sf), 5, 4)
+    assign, facts = kmeans.kmeans(_rows(spark, sf), 5)
     return assign.select("row_id", "cluster", F.lit(facts["best_inertia"]).alias("inertia"))
 
 
 @query
 def clu_elbow(spark, sf):
-    return spark.createDataFrame(kmeans.inertia_curve(_rows(spark, sf), 5), "k int, inertia double")
+    return spark.createDataFrame(kmeans.inertia_curve(_rows(spark, sf), 10), "k int, inertia double")
 
 
 @query
 def clu_spectral(spark, sf):
-    return analysis.run_clustering("spectral", _rows(spark, sf), 5, 2, rounds=6)[0]
+    return analysis.run_clustering("spectral", _rows(spark, sf), 5, 2)[0]
 
 
 @query
@@ -770,16 +778,16 @@ def mdl_kde(spark, sf):
 
 @query
 def mdl_optimal_k(spark, sf):
-    return model.optimal_k(_rows(spark, sf), 6)
+    return model.optimal_k(_rows(spark, sf))
 
 
 @query
 def mdl_score_embedding(spark, sf):
     embed = session.cut(analysis.run_reduction("svd", _rows(spark, sf), 2)[0])
-    return analysis.score_embedding(embed, "kmeans", 5, n_iterations=3)[1]
+    return analysis.score_embedding(embed, "kmeans", 5)[1]
 
 
 @query
 def mdl_sweep(spark, sf):
     return analysis.sweep(session.cut(tables.beads(spark, sf)), tables.LABELS, ["euclidean", "contact"], ["vc"],
-                          ["weighted"], ["svd"], n_clusters=4, n_iterations=2)
+                          ["weighted"], ["svd"], n_clusters=4)
