@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 
 from foldspark.llm.chunks import PieceTable
 
-# Texts are encoded this many at a time within an Arrow batch.
+# Texts are encoded this many at a time within an Arrow batch; that and the table below
+# bound the memory of a worker.
 _TEXTS = 1000
 # Pieces the table of a worker holds.
 _PIECES = 250_000
