@@ -29,7 +29,7 @@ def vc(square: DataFrame) -> DataFrame:
     return square.withColumn("v", safe_divide(F.col("v"), total))
 
 
-def _balance(m: np.ndarray, rounds: int, tol: float, balanced: bool) -> np.ndarray:
+def balance(m: np.ndarray, rounds: int, tol: float, balanced: bool) -> np.ndarray:
     """Balance a stack of equally sized matrices; each stops on its own."""
     f, n = m.shape[:2]
     bias = np.ones((f, n))
@@ -72,7 +72,7 @@ def _balance_batches(rounds: int, tol: float, balanced: bool):
                 step = max(1, _CHUNK_CELLS // int(size))
                 for at in range(0, len(which), step):
                     pos = (starts[which[at:at + step]][:, None] + np.arange(size)).ravel()
-                    out[pos] = _balance(v[pos].reshape(-1, n, n), rounds, tol, balanced).ravel()
+                    out[pos] = balance(v[pos].reshape(-1, n, n), rounds, tol, balanced).ravel()
             owner = np.repeat(np.arange(batch.num_rows), sizes)
             keys = [batch.column(c).take(pa.array(owner)) for c in FRAME_KEY]
             yield pa.RecordBatch.from_arrays(

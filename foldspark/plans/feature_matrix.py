@@ -1,21 +1,24 @@
 """Distance maps and the feature matrix X as single composed plans.
 
-The whole chain from beads to packed rows uses one exchange on the frame key:
-the self-join, the row-sum window and the grouping of a frame's cells all
-accept that partitioning. Statistics are one-row aggregates over the sparse
-cells; the zeros that padding adds enter them as a weight, so no padded cell
-is ever materialised before the final pack.
+X is built from packed frames (see ``packed``): beads are grouped by frame once,
+and each pass, one for the statistics and one for the result, computes whole
+frames in a kernel. Where cells need a label's mean, or X is preprocessed in row
+chunks, X comes from a table of cells instead; its statistics are one-row
+aggregates over the sparse cells. In both, the zeros that padding adds enter the
+statistics as a weight, so no padded cell is materialised before the result.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import is_bad, pair_index
 from foldspark.operators import clean, shape
+from foldspark.plans import packed
 from foldspark.operators.distance import distances
 from foldspark.operators.normalise import normalise
 from foldspark.operators.prepare import chunk_of, prep_of
@@ -75,6 +78,62 @@ def _literal(value):
     return F.lit(value).cast("double")
 
 
+class _Unit:
+    """Fill, preprocess and scale the values of a triangle."""
+
+    def __init__(self, prep: str, mean: float | None, lo: float, hi: float):
+        self.prep, self.mean, self.lo, self.hi = prep, math.nan if mean is None else mean, lo, hi
+        self.low: float | None = None
+        self.high = self.middle = self.constant = 0.0
+
+    def prepared(self, v):
+        return packed.prepared(np.where(np.isfinite(v), v, self.mean), self.prep, self.lo, self.hi)
+
+    def scaled(self, v):
+        if self.low is None:
+            return np.zeros_like(v)
+        if self.low == self.high:
+            return np.full_like(v, self.constant)
+        return (np.where(np.isfinite(v), v, self.middle) - self.low) / (self.high - self.low)
+
+    def __call__(self, v):
+        return self.scaled(np.where(np.isfinite(v), self.prepared(v), self.middle))
+
+
+def _from_frames(beads, labels, chain, prep, constant, row_ids, width, frames_n) -> DataFrame:
+    frames = packed.frames_of(beads)
+    columns = width * (width - 1) // 2
+    s = packed.statistics(frames, chain)
+    total = frames_n * columns
+    pads = total - s["n"]
+    mean = (s["sum"] or 0.0) / (total - s["nan"]) if total > s["nan"] else None
+    if mean is not None and not math.isfinite(mean):
+        mean = None  # left to the finite mean after preprocessing
+    name = (prep or "none").lower()
+    ends = [e for e in (s["lo"], s["hi"], 0.0 if pads else None) if e is not None]
+    low, high = (min(ends), max(ends)) if ends else (math.nan, math.nan)
+    unit = _Unit(name, mean, low, high)
+    unit.constant = constant
+    zero = unit.prepared(np.zeros(1))
+    # every method is monotone between the extremes unless 1/(1+v) meets its pole
+    if ends and not s["bad"] and (name != "complete" or not low <= -1 <= high):
+        at_ends = unit.prepared(np.array([low, high]))
+        found = [float(e) for e in at_ends if np.isfinite(e)]
+    else:
+        after = packed.statistics(frames, chain, unit.prepared)
+        found = [e for e in (after["lo"], after["hi"]) if e is not None]
+        weight, amount = after["finite_n"], after["finite_sum"] or 0.0
+        if pads and np.isfinite(zero[0]):
+            found.append(float(zero[0]))
+            weight, amount = weight + pads, amount + pads * float(zero[0])
+        unit.middle = amount / weight if weight else math.nan
+    if found:
+        unit.low, unit.high = min(found), max(found)
+    if row_ids:
+        frames = frames.join(shape.stack(beads, labels), FRAME_KEY)
+    return packed.rows(frames, chain, unit, width, float(unit.scaled(zero)[0]))
+
+
 def feature_matrix(beads: DataFrame, labels: list[str], metric: str = "euclidean",
                    norm: str | None = None, prep: str = "weighted", chunks: int | None = None,
                    constant: float = 0.0, row_ids: bool = True, materialise: bool | None = None,
@@ -88,6 +147,9 @@ def feature_matrix(beads: DataFrame, labels: list[str], metric: str = "euclidean
     beads = beads.filter(F.col("label").isin(labels))
     width, frames, ordinary = extent(beads)
     columns = width * (width - 1) // 2
+    if ordinary and chunks is None and not materialise:
+        return _from_frames(beads, labels, packed.Chain(metric, norm, **norm_options), prep, constant,
+                            row_ids, width, frames)
     square = normalised_cells(beads, labels, metric, norm, width, not ordinary, **norm_options)
     # diagonal rows stay as markers, so a frame of one bead keeps its row of X
     cells = square.filter(F.col("i") <= F.col("j")).select(

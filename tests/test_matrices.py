@@ -194,3 +194,33 @@ def test_unknown_names(spark):
     with pytest.raises(KeyError):
         analysis.run_clustering("birch", None)
     assert distance.metric_of("pearson") is distance.metric_of("pearsons")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "log2_contact", "pearsons", "spearman_true"])
+@pytest.mark.parametrize("norm", [None, "vc", "ice"])
+def test_packed_frames_equal_the_table_of_cells(spark, metric, norm):
+    beads = make_beads(spark, random_frames(3))
+    packed = fm.feature_matrix(beads, ["A", "B"], metric, norm, "average")
+    cells = fm.feature_matrix(beads, ["A", "B"], metric, norm, "average", materialise=True)
+    a, b = ({r.row_id: r.v for r in x.collect()} for x in (packed, cells))
+    assert a.keys() == b.keys()
+    assert all(np.allclose(a[k], b[k], atol=1e-9, equal_nan=True) for k in a)
+
+
+def test_one_long_frame_among_short_ones(spark):
+    """2,000 beads beside frames of ten, with joins that must shuffle."""
+    frames = random_frames(4, (2000, *(10,) * 12))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        beads = make_beads(spark, frames)
+        x = fm.feature_matrix(beads, ["A", "B"], "euclidean").select(
+            "frame", F.size("v").alias("n"), F.array_max("v").alias("hi"),
+            F.aggregate("v", F.lit(0.0), lambda a, t: a + t).alias("s")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = max(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)).max() for p in frames.values())
+    for r in x:
+        p = next(v for k, v in frames.items() if k[2] == r.frame)
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+        assert r.n == 2000 * 1999 // 2
+        assert np.isclose(r.s, np.triu(d).sum() / top) and np.isclose(r.hi, d.max() / top)
