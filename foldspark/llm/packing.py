@@ -37,7 +37,9 @@ _GATHER, _KEEP = 1 << 19, 1 << 17
 _STEPS = 4
 # Sequence and step numbers of a partition start at its number times this.
 _SPAN = 1 << 40
-_ROWS = 8192
+# Pieces of an output batch, and strings the tokenizer encodes at once; its
+# encodings are large.
+_ROWS, _STRINGS = 1024, 4096
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
            ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
@@ -57,8 +59,9 @@ def _tokenizer_table(path: str) -> PieceTable:
         tokenizer = Tokenizer.from_file(path)
 
         def encode_many(texts):
-            return [struct.pack(f"<{len(ids)}I", *ids) for ids in
-                    (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+            return [struct.pack(f"<{len(ids)}I", *ids) for at in range(0, len(texts), _STRINGS) for ids in
+                    (e.ids for e in tokenizer.encode_batch_fast(texts[at:at + _STRINGS],
+                                                                add_special_tokens=False))]
         _TABLES[path] = PieceTable(encode_many)
     return _TABLES[path]
 

@@ -115,7 +115,8 @@ def stack(frames: DataFrame, labels: list[str]) -> DataFrame:
 
 def _packer(width: int):
     def run(batches):
-        for batch in batches:
+        step = max(1, 2_000_000 // max(width, 1))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             cells = batch.column("_cells")
             n = batch.num_rows
             pad = batch.column("_pad").to_numpy(zero_copy_only=False)

@@ -122,9 +122,10 @@ CWIDTH = "cw AS (SELECT max(greatest(i, j)) + 1 AS width FROM contacts)"
 AXIS = "axis AS (SELECT CAST(unnest(range(width)) AS INTEGER) AS k FROM cw)"
 
 ORACLES["src_matrix_text"] = f"""WITH {CONTACTS}, {CONTACT_GAPS}, {CWIDTH}, {AXIS}
-SELECT a.k AS i, b.k AS j, coalesce(isnan(v), false) AS missing,
+SELECT s.source, a.k AS i, b.k AS j, coalesce(isnan(v), false) AS missing,
        CASE WHEN isnan(v) THEN 0.0 ELSE coalesce(v, 0.0) END AS v
-FROM axis a CROSS JOIN axis b LEFT JOIN gaps ON source = 'sim' AND gaps.i = a.k AND gaps.j = b.k"""
+FROM (VALUES ('sim'), ('exp')) s(source) CROSS JOIN axis a CROSS JOIN axis b
+LEFT JOIN gaps ON gaps.source = s.source AND gaps.i = a.k AND gaps.j = b.k"""
 
 METRICS_RAW = """metrics AS (
   SELECT ['MDS', 'PCA', 'SVD', 't-sne', 'UMAP'][CAST(l_partkey % 5 + 1 AS INTEGER)] AS technique,

@@ -25,11 +25,23 @@ def write_beads(beads: DataFrame, path: str) -> None:
 
 
 def fingerprint(labels: list[str], snapshot: str, **params) -> str:
-    """Key of a cached table: labels in call order, parameters, input version."""
+    """Key of a cached table: labels in call order, parameters, and ``snapshot``,
+    the input's version (see ``input_version``)."""
     text = json.dumps([labels, snapshot, sorted(params.items())], default=str)
     return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
+def input_version(df: DataFrame) -> str:
+    """Changes with the files a table is read from: their names, sizes and times."""
+    spark = df.sparkSession
+    found = []
+    for name in sorted(df.inputFiles()):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(json.dumps(found).encode()).hexdigest()[:32]
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)

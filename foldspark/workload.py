@@ -89,11 +89,15 @@ def src_registered_labels(spark, sf):
 
 @query
 def src_matrix_text(spark, sf):
-    sim = tables.contacts_with_gaps(spark, sf).filter(F.col("source") == "sim")
-    path = session.fresh_path(spark, "matrix")
-    matrices.write_matrix(sim, hic.map_width(tables.contacts(spark, sf)), path)
-    cells = matrices.read_matrix(spark, path)
-    return cells.select("i", "j", F.isnan("v").alias("missing"), F.nanvl("v", F.lit(0.0)).alias("v"))
+    contacts, width = tables.contacts_with_gaps(spark, sf), hic.map_width(tables.contacts(spark, sf))
+    read = []
+    for source in ("sim", "exp"):
+        path = session.fresh_path(spark, "matrix")
+        matrices.write_matrix(contacts.filter(F.col("source") == source), width, path)
+        read.append(matrices.read_matrix(spark, path).select(
+            F.lit(source).alias("source"), "i", "j", F.isnan("v").alias("missing"),
+            F.nanvl("v", F.lit(0.0)).alias("v")))
+    return reduce_frames(read)
 
 
 @query
@@ -117,7 +121,8 @@ def snk_beads_roundtrip(spark, sf):
 @query
 def snk_matrix_reuse(spark, sf):
     root = session.fresh_path(spark, "x")
-    key = sinks.fingerprint(tables.LABELS, sf, metric="euclidean", norm="none", prep="weighted")
+    version = sinks.input_version(tables.beads(spark, sf))
+    key = sinks.fingerprint(tables.LABELS, version, metric="euclidean", norm="none", prep="weighted")
     sinks.materialised(spark, root, key,
                        lambda: fm.feature_matrix(tables.beads(spark, sf), tables.LABELS))
 
