@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.operators.graph import components
-from foldspark.operators.pairwise import pair_reduce, row_pairs, shape_of
+from foldspark.operators.pairwise import least_per, pair_reduce, row_pairs, shape_of
 from foldspark.operators.shape import dense_index
 from foldspark.operators.spanning import spanning_tree
 from foldspark.session import Rounds
@@ -255,7 +255,8 @@ def _ward_rounds(x: DataFrame, rows: int, width: int, finish_below: int, kept: R
     events, turn, left = [], 0, rows
     while left > max(1, finish_below):
         state = kept.keep("state", state)
-        found = pair_reduce(state, _ward_near, schema, _SIDES, (left, width))
+        found = pair_reduce(state, _ward_near, schema, _SIDES, (left, width),
+                            combine=least_per(("id",), ("d", "lo", "hi")))
         near = (found.groupBy("id").agg(F.min(F.struct("d", "lo", "hi", *rest)).alias("_m"))
                 .select("id", "_m.d", *[f"_m.{c}" for c in rest]))
         merged = kept.keep(f"merged{turn}", _mutual(near, rows, turn))

@@ -1,8 +1,8 @@
 """Operators over all pairs of feature rows, without a table of all pairs.
 
 Rows are packed into tiles of bounded size by a hash of their unique id; every
-unordered tile pair becomes one unit of work, spread by a single shuffle. A
-vectorised kernel sees the distance block of a tile pair and returns only what
+super-block of tile pairs becomes one unit of work, spread by a single shuffle
+that ships a tile once per super-block. A vectorised kernel sees the distance block of a tile pair and returns only what
 the operator keeps (sums per cluster, nearest rows, a spanning forest ...), so
 the quadratic part is arithmetic, never rows. Wide rows are cut into feature
 blocks that stream through the same task and add up in place.
@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 # Bounds of one tile: rows, and doubles held per feature block.
 TILE_ROWS = 1024
 FEATURE_BLOCK = 2048
+# Tiles along a super-block's side at most, and output rows it collects between
+# two combine steps.
+SIDE = 8
+HELD_ROWS = 1 << 20
 
 
 class Tile:
@@ -58,56 +62,106 @@ def _block_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def _runner(kernel: Callable, payload: list[str], schema: pa.Schema, need_distance: bool):
-    def emit(a, b, d):
-        out = kernel(a, b, d)
-        if out is None:
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+def _runner(kernel: Callable, payload: list[str], schema: pa.Schema, need_distance: bool, blocks: int,
+            side: int, combine: Callable | None):
+    """Work on one super-block at a time: all pairs of its tiles. ``combine``
+    cuts the super-block's collected output down before it leaves the task."""
+    names = [f.name for f in schema]
 
-    def finish(sides, d2):
-        a = sides[0]
-        if len(sides) == 1:
+    def outputs(a, b, d2):
+        """The kernel's output for both orders of a tile pair."""
+        if b is a:
             if d2 is not None:
                 np.fill_diagonal(d2, 0.0)
-            yield emit(a, a, None if d2 is None else np.sqrt(d2))
+            yield kernel(a, a, None if d2 is None else np.sqrt(d2))
         else:
-            b = sides[1]
             d = None if d2 is None else np.sqrt(d2)
-            yield emit(a, b, d)
-            yield emit(b, a, None if d is None else d.T)
+            yield kernel(a, b, d)
+            yield kernel(b, a, None if d is None else d.T)
+
+    def pairs(super_block, tiles):
+        sa, sb = super_block
+        for t in sorted(tiles):
+            for u in sorted(tiles):
+                if t <= u and {t // side, u // side} == {sa, sb}:
+                    yield t, u
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+
+    def super_block_out(found):
+        held, size = [], 0
+        for out in found:
+            if out is None:
+                continue
+            if combine is None:
+                yield batch(out)
+                continue
+            held.append(out)
+            size += len(out[names[0]])
+            if size > HELD_ROWS:
+                held = [combine({n: np.concatenate([h[n] for h in held]) for n in names})]
+                size = len(held[0][names[0]])
+        if held:
+            yield batch(combine({n: np.concatenate([h[n] for h in held]) for n in names}))
 
     def run(batches):
-        current, sides, d2, held = None, [], None, None
-        for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            ta, tb = cols["ta"].to_pylist(), cols["tb"].to_pylist()
-            fb, side = cols["fb"].to_pylist(), cols["side"].to_pylist()
-            for r in range(batch.num_rows):
-                if (ta[r], tb[r]) != current:
+        current, tiles, values, squares, at = None, {}, {}, {}, 0
+
+        def add_squares():
+            for t, u in pairs(current, values):
+                part = _block_squares(values[t], values[u])
+                squares[t, u] = squares[t, u] + part if (t, u) in squares else part
+
+        def finish():
+            def found():
+                for t, u in pairs(current, tiles):
+                    d2 = None
+                    if need_distance:
+                        d2 = _block_squares(values[t], values[u]) if blocks == 1 else squares.pop((t, u))
+                    yield from outputs(tiles[t], tiles[u], d2)
+            if need_distance and blocks > 1:
+                add_squares()
+            yield from super_block_out(found())
+
+        for b in batches:
+            cols = {c: b.column(c) for c in b.schema.names}
+            sa, sb, ts, fb = (cols[c].to_pylist() for c in ("sa", "sb", "t", "fb"))
+            for r in range(b.num_rows):
+                if (sa[r], sb[r]) != current:
                     if current is not None:
-                        yield from (x for x in finish(sides, d2) if x is not None)
-                    current, sides, d2, held = (ta[r], tb[r]), [], None, None
+                        yield from finish()
+                    current, tiles, values, squares, at = (sa[r], sb[r]), {}, {}, {}, 0
+                elif fb[r] != at:
+                    add_squares()
+                    values, at = {}, fb[r]
                 rows = cols["rows"][r].values
-                block = _column(rows.field("v")) if need_distance else None
-                if fb[r] == 0:
-                    sides.append(Tile(_column(rows.field("row_id")),
-                                      {p: _column(rows.field(p)) for p in payload}))
                 if need_distance:
-                    if ta[r] == tb[r]:
-                        part = _block_squares(block, block)
-                    elif side[r] == 0:
-                        held, part = block, None
-                    else:
-                        part = _block_squares(held, block)
-                    if part is not None:
-                        d2 = part if d2 is None else d2 + part
+                    values[ts[r]] = _column(rows.field("v"))
+                if fb[r] == 0:
+                    tiles[ts[r]] = Tile(_column(rows.field("row_id")),
+                                        {p: _column(rows.field(p)) for p in payload})
         if current is not None:
-            yield from (x for x in finish(sides, d2) if x is not None)
+            yield from finish()
     return run
 
 
+def least_per(keys: tuple[str, ...], order: tuple[str, ...], k: int = 1) -> Callable:
+    """A combine step that keeps the k least rows, in ``order``, of every key."""
+    def combine(out: dict) -> dict:
+        place = np.lexsort([out[c] for c in (*order[::-1], *keys[::-1])])
+        new = np.ones(len(place), dtype=bool)
+        if len(place):
+            new[1:] = False
+            for c in keys:
+                values = out[c][place]
+                new[1:] |= values[1:] != values[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
+        kept = place[np.arange(len(place)) - start < k]
+        return {n: v[kept] for n, v in out.items()}
+    return combine
+
+
 def _arrow(schema: str) -> pa.Schema:
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(),
              "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
@@ -126,22 +180,15 @@ def tile_count(n: int, slots: int, tile_rows: int) -> int:
     return max(1, min(max(wanted, -(-n // tile_rows)), -(-n // 32)))
 
 
-def pair_reduce(x: DataFrame, kernel: Callable, schema: str, payload: tuple[str, ...] = (),
-                size: tuple[int, int] | None = None, need_distance: bool = True,
-                tile_rows: int = TILE_ROWS, feature_block: int = FEATURE_BLOCK) -> DataFrame:
-    """Apply ``kernel(a, b, d)`` to every ordered pair of tiles.
+def side_of(tiles: int, slots: int) -> int:
+    """Tiles along one side of a super-block: as many as leave every slot work."""
+    return max(1, min(SIDE, tiles // int(np.ceil(np.sqrt(2.0 * slots)))))
 
-    ``x(row_id, v, *payload)`` has unique ids. ``d`` holds Euclidean distances
-    of a's rows (down) and b's rows (across); a tile meets itself once. The
-    kernel returns a dict of columns of ``schema`` or None.
-    """
-    spark = x.sparkSession
-    n, p = size if size is not None else shape_of(x)
-    slots = spark.sparkContext.defaultParallelism
-    # fewer rows per tile where a row's block is wide, so that a tile stays near 8 MB
-    width = min(max(p, 1), feature_block)
-    tile_rows = max(16, min(tile_rows, (1 << 20) // width))
-    tiles = tile_count(n, slots, tile_rows)
+
+def scheduled(x: DataFrame, payload: tuple[str, ...], p: int, tiles: int, side: int, need_distance: bool,
+              feature_block: int = FEATURE_BLOCK) -> DataFrame:
+    """``(sa, sb, t, fb, rows)``: every tile once for each super-block it is in,
+    that is tiles / side times."""
     rows = x.select("row_id", *payload, *(["v"] if need_distance else []),
                     F.pmod(F.xxhash64("row_id"), F.lit(tiles)).cast("int").alias("t"))
     fields = ["row_id", *payload]
@@ -155,14 +202,39 @@ def pair_reduce(x: DataFrame, kernel: Callable, schema: str, payload: tuple[str,
     # the same row order in every block of a tile: blocks of one tile add up cell by cell
     entry = F.struct(*fields, *(["v"] if need_distance else []))
     packed = rows.groupBy("t", "fb").agg(F.sort_array(F.collect_list(entry)).alias("rows"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    work = packed.withColumn("_u", other).select(
-        F.least("t", "_u").alias("ta"), F.greatest("t", "_u").alias("tb"), "fb",
-        (F.col("t") > F.col("_u")).cast("int").alias("side"), "rows")
-    units = tiles * (tiles + 1) // 2
-    parts = min(units, max(3 * slots, units // 64))
-    work = work.repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "fb", "side")
-    run = _runner(kernel, list(payload), _arrow(schema), need_distance)
+    own = F.floor(F.col("t") / side).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit((tiles - 1) // side)))
+    return packed.withColumn("_u", other).select(
+        F.least(own, "_u").alias("sa"), F.greatest(own, "_u").alias("sb"), "t", "fb", "rows")
+
+
+def pair_reduce(x: DataFrame, kernel: Callable, schema: str, payload: tuple[str, ...] = (),
+                size: tuple[int, int] | None = None, need_distance: bool = True,
+                tile_rows: int = TILE_ROWS, feature_block: int = FEATURE_BLOCK,
+                combine: Callable | None = None, side: int | None = None) -> DataFrame:
+    """Apply ``kernel(a, b, d)`` to every ordered pair of tiles.
+
+    ``x(row_id, v, *payload)`` has unique ids. ``d`` holds Euclidean distances
+    of a's rows (down) and b's rows (across); a tile meets itself once. The
+    kernel returns a dict of columns of ``schema`` or None. A task takes whole
+    super-blocks of ``side`` x ``side`` tile pairs, so a tile is shuffled
+    tiles / side times, and ``combine`` reduces the output of each.
+    """
+    spark = x.sparkSession
+    n, p = size if size is not None else shape_of(x)
+    slots = spark.sparkContext.defaultParallelism
+    # fewer rows per tile where a row's block is wide, so that a tile stays near 8 MB
+    width = min(max(p, 1), feature_block)
+    tile_rows = max(16, min(tile_rows, (1 << 20) // width))
+    tiles = tile_count(n, slots, tile_rows)
+    side = side or side_of(tiles, slots)
+    blocks = -(-p // feature_block) if need_distance and p > feature_block else 1
+    work = scheduled(x, payload, p, tiles, side, need_distance, feature_block)
+    supers = -(-tiles // side)
+    units = supers * (supers + 1) // 2
+    parts = min(units, max(3 * slots, units // 8))
+    work = work.repartition(parts, "sa", "sb").sortWithinPartitions("sa", "sb", "fb", "t")
+    run = _runner(kernel, list(payload), _arrow(schema), need_distance, blocks, side, combine)
     return work.mapInArrow(run, schema.replace("long", "bigint"))
 
 
@@ -201,8 +273,9 @@ def nearest(x: DataFrame, k: int, include_self: bool = False,
             size: tuple[int, int] | None = None) -> DataFrame:
     """The k nearest rows of each row, ``(a, b, d, rank)``, rank from 1."""
     found = pair_reduce(x.select("row_id", "v"), _nearest_kernel(k, include_self),
-                        "a long, b long, d double", size=size)
-    # each tile pair kept k rows per row; the bounded rank prunes before the sort
+                        "a long, b long, d double", size=size,
+                        combine=least_per(("a",), ("d", "b"), k))
+    # each super-block kept k rows per row; the bounded rank prunes before the sort
     rank = F.row_number().over(W.partitionBy("a").orderBy("d", "b"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.operators.graph import components
-from foldspark.operators.pairwise import pair_reduce, shape_of
+from foldspark.operators.pairwise import least_per, pair_reduce, shape_of
 from foldspark.session import Rounds
 
 FINISH_BELOW = 256
@@ -97,7 +97,8 @@ def spanning_tree(x: DataFrame, core: bool = False, finish_below: int = FINISH_B
     rounds = Rounds(x.sparkSession)
     while left > max(1, finish_below):
         state = rounds.keep("state", state)
-        found = pair_reduce(state, _leaving, _LINK, ("comp", *extra), size)
+        found = pair_reduce(state, _leaving, _LINK, ("comp", *extra), size,
+                            combine=least_per(("comp",), ("d", "lo", "hi")))
         order = F.struct("d", "lo", "hi", "other")
         best = rounds.keep(f"best{len(edges)}", found.groupBy("comp").agg(F.min(order).alias("_m")).select("comp", "_m.*"))
         edges.append(best.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "d").distinct())
@@ -107,7 +108,8 @@ def spanning_tree(x: DataFrame, core: bool = False, finish_below: int = FINISH_B
         state = state.join(merged, "comp").select("row_id", *extra, "v", F.col("_to").alias("comp"))
     if left > 1:
         state = rounds.keep("state", state)
-        links = pair_reduce(state, _between, _LINK, ("comp", *extra), size)
+        links = pair_reduce(state, _between, _LINK, ("comp", *extra), size,
+                            combine=least_per(("comp", "other"), ("d", "lo", "hi")))
         links = links.groupBy("comp", "other").agg(
             F.min(F.struct("d", "lo", "hi")).alias("_m")).select("comp", "other", "_m.*")
         edges.append(links.groupBy(F.lit(0).alias("_one")).applyInPandas(

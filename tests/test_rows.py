@@ -259,3 +259,27 @@ def test_shared_folder_is_never_a_temporary_one(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_dir(spark) == folder.rstrip("/")
     assert not hasattr(session, "tempfile")
+
+
+@pytest.mark.parametrize("side", [1, 3, 8])
+@pytest.mark.parametrize("feature_block", [2048, 3])
+def test_super_blocks_meet_every_pair_once(spark, side, feature_block):
+    points = np.random.default_rng(5).normal(size=(150, 7))
+    x = rows_frame(spark, points)
+    out = pairwise.pair_reduce(x, pairwise._all_pairs, "a long, b long, d double", tile_rows=16,
+                               feature_block=feature_block, side=side).collect()
+    want = dist(points)
+    assert len(out) == 150 * 149 // 2 == len({(r.a, r.b) for r in out})
+    assert np.allclose([r.d for r in out], [want[r.a, r.b] for r in out])
+    near = pairwise.pair_reduce(x, pairwise._nearest_kernel(4, False), "a long, b long, d double", tile_rows=16,
+                                feature_block=feature_block, side=side,
+                                combine=pairwise.least_per(("a",), ("d", "b"), 4)).collect()
+    supers = -(-pairwise.tile_count(150, spark.sparkContext.defaultParallelism, 16) // side)
+    assert len(near) <= 150 * 4 * supers  # each super-block gives out four per row, not each tile
+
+
+def test_a_tile_is_shuffled_once_per_super_block(spark):
+    x = rows_frame(spark, np.random.default_rng(6).normal(size=(400, 3)))
+    for tiles, side in ((12, 4), (13, 4), (9, 1)):
+        copies = pairwise.scheduled(x, (), 3, tiles, side, True).groupBy("t").count().agg(F.max("count")).first()[0]
+        assert copies <= tiles // side + 1
