@@ -267,7 +267,9 @@ JOIN b{rounds} x ON {keyed('p', 'x')} AND p.i = x.i JOIN b{rounds} y ON {keyed('
 
 ORACLES["nrm_ice_10"] = balancing("euclidean", 10)
 ORACLES["nrm_kr_10"] = balancing("contact", 10)
-ORACLES["nrm_ice_asymmetric"] = balancing("spearman", 10)
+ORACLES["nrm_ice_asymmetric"] = balancing("spearman", 100)
+ORACLES["nrm_ice"] = balancing("euclidean", 100)
+ORACLES["nrm_kr"] = balancing("contact", 100)
 ORACLES["nrm_balanced"] = f"""WITH {BEADS}, f AS (SELECT {KEY}, count(*) AS n FROM beads GROUP BY {KEY})
 SELECT {KEY}, bead AS i, n, CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END AS row_sum FROM beads JOIN f USING ({KEY})"""
 
@@ -494,13 +496,6 @@ t AS (SELECT *, last_value(CASE WHEN low THEN 0.0 WHEN top THEN d - 1.0 / (n - 1
         last_value(CASE WHEN top THEN k END IGNORE NULLS) OVER w AS cand
       FROM e WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT series, min_by(cand, k) FILTER (cand IS NOT NULL AND nx IS NOT NULL AND nx < th) AS knee FROM t GROUP BY series"""
-ORACLES["mdl_kde"] = f"""WITH {EMB},
-h AS (SELECT cluster, stddev_samp(v[1]) * pow(count(*), -0.2) AS h, min(v[1]) AS lo, max(v[1]) AS hi FROM emb GROUP BY ALL),
-g AS (SELECT cluster, h, g, lo - 3 * h + (hi - lo + 6 * h) * g / 199 AS pos FROM h, (SELECT unnest(range(200))::INTEGER AS g))
-SELECT cluster, g, {r6('pos')} AS at, {r6('avg(exp(-0.5 * pow((pos - v[1]) / h, 2)) / sqrt(2 * pi())) / any_value(h)')} AS density
-FROM g JOIN emb USING (cluster) GROUP BY cluster, g, pos"""
-
-
 # ---- walks over the distance matrix ----------------------------------------
 
 def _walk(core: str) -> str:
@@ -630,6 +625,13 @@ SELECT f, {r6('abs(x)')} AS importance FROM l ORDER BY abs(x) DESC, f LIMIT 10""
 ORACLES["red_pca_scores"] = f"""{spectrum(True)}, mean AS (SELECT list(a ORDER BY f) AS a FROM (SELECT f, avg(t) AS a FROM cells GROUP BY f)),
 e AS (SELECT row_id, k, list_inner_product([x[1] - x[2] FOR x IN list_zip(emb.v, a)], pairs.v) AS e FROM emb, mean, pairs)
 SELECT row_id, {r6('max(e) FILTER (k = 1)')} AS c1, {r6('max(e) FILTER (k = 2)')} AS c2 FROM e GROUP BY row_id"""
+ORACLES["mdl_kde"] = f"""{spectrum(True)}, mean AS (SELECT list(a ORDER BY f) AS a FROM (SELECT f, avg(t) AS a FROM cells GROUP BY f)),
+e AS MATERIALIZED (SELECT cluster, k, list_inner_product([x[1] - x[2] FOR x IN list_zip(emb.v, a)], pairs.v) AS e
+  FROM emb, mean, pairs WHERE k < 3),
+h AS (SELECT cluster, k, stddev_samp(e) * pow(count(*), -0.2) AS h, min(e) AS lo, max(e) AS hi FROM e GROUP BY ALL),
+g AS (SELECT cluster, k, h, g, lo - 3 * h + (hi - lo + 6 * h) * g / 199 AS pos FROM h, (SELECT unnest(range(200))::INTEGER AS g))
+SELECT cluster, k, g, {r6('pos')} AS at, {r6('avg(exp(-0.5 * pow((pos - e) / h, 2)) / sqrt(2 * pi())) / any_value(h)')} AS density
+FROM g JOIN e USING (cluster, k) GROUP BY cluster, k, g, pos"""
 ORACLES["red_umap_graph"] = f"""WITH RECURSIVE {EMB}, {ALL_PAIRS}, {_KNN},
 near AS MATERIALIZED (SELECT a, list(greatest(d - rho, 0)) AS gap, any_value(rho) AS rho, avg(d) AS mean FROM (
   SELECT a, d, min(d) FILTER (d > 0) OVER (PARTITION BY a) AS rho FROM knn WHERE rank <= 14) GROUP BY a),

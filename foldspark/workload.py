@@ -311,9 +311,11 @@ def _norm_query(name: str, norm: str, metric: str = "euclidean", **options) -> N
 
 _norm_query("nrm_log", "log_transform")
 _norm_query("nrm_vc", "vc")
+_norm_query("nrm_ice", "ice")
+_norm_query("nrm_kr", "kr", metric="contact")
 _norm_query("nrm_ice_10", "ice", max_iter=10)
 _norm_query("nrm_kr_10", "kr", metric="contact", max_iter=10)
-_norm_query("nrm_ice_asymmetric", "ice", metric="spearman", max_iter=10)
+_norm_query("nrm_ice_asymmetric", "ice", metric="spearman")
 
 
 @query
@@ -777,8 +779,11 @@ def mdl_knee(spark, sf):
 
 @query
 def mdl_kde(spark, sf):
-    points = tables.features(spark, sf).withColumn("c1", F.element_at("v", 1))
-    return rounded(model.kde(points, "c1"), "at", "density")
+    """Densities along both components of a reduction."""
+    embed = session.cut(analysis.run_reduction("pca", tables.features(spark, sf), 2)[0])
+    drawn = [model.kde(embed.withColumn("c", F.element_at("e", k)), "c").withColumn("k", F.lit(k))
+             for k in (1, 2)]
+    return rounded(reduce_frames(drawn), "at", "density")
 
 
 @query
