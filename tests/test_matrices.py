@@ -224,3 +224,16 @@ def test_one_long_frame_among_short_ones(spark):
         d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
         assert r.n == 2000 * 1999 // 2
         assert np.isclose(r.s, np.triu(d).sum() / top) and np.isclose(r.hi, d.max() / top)
+
+
+def test_missing_and_corrupt_replica_files_are_skipped(spark, tmp_path):
+    from foldspark.sources import sinks, trajectories
+
+    frames = {("A", r, 10 * r + f): np.full((3, 3), float(r)) for r in (1, 2, 3) for f in (0, 1)}
+    sinks.write_beads(make_beads(spark, frames), str(tmp_path))
+    part = next((tmp_path / "label=A" / "replica=2").glob("*.parquet"))
+    for crc in part.parent.glob(".*.crc"):
+        crc.write_bytes(b"")
+    part.write_bytes(b"PAR1 not a table")
+    beads = trajectories.load_beads(spark, {"A": str(tmp_path / "label=A")}, replicas=(1, 4), stride=1)
+    assert {r.replica for r in beads.select("replica").distinct().collect()} == {1, 3}
