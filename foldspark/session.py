@@ -14,7 +14,7 @@ _SETTINGS = {
     # A hot frame must be split even where the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Rows carry whole matrix rows or tiles, so a batch is bounded by bytes.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
 }
 
