@@ -11,8 +11,9 @@ labelled examples are the URLs that a rule judges. Both classes are mixed with
 the words of all URLs (``ALL_SHARE``), of which the blocked class gives a part
 (``SEED_PART``) to the seed words. These shares are relative, so that the model
 does not depend on the number of pages. Few URLs are to be blocked
-(``BLOCKED_PRIOR``), so weak evidence does not block. Counting and scoring work on distinct hosts and distinct paths with
-their numbers masked, and scores are joined back to the pages.
+(``BLOCKED_PRIOR``), so weak evidence does not block. Counting and scoring work
+on distinct hosts and distinct paths with their numbers masked, and scores are
+joined back to the pages.
 
 Rows: a null URL, or one without ``://``, has empty host and path and no words,
 which the method allows, as it allows any tie. A null page id is kept as it is;
