@@ -21,12 +21,14 @@ _LONG = 64
 class PieceTable:
     """Maps pieces to encoded bytes; ``encode_many`` fills in unknown ones.
 
-    Holds at most ``limit`` pieces between two calls, so a worker's memory is
-    bounded by the table and one batch of texts."""
+    Beyond ``limit`` pieces, only those that came again stay, or else those of
+    the present texts, so a worker's memory is bounded by the table and one
+    batch of texts."""
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = 500_000):
         self._encode_many, self._limit = encode_many, limit
         self._table: dict[str, bytes] = {}
+        self._again: set[str] = set()  # pieces that a later call found in the table
 
     def _encoded(self, strings: Iterable[str]) -> dict[str, bytes]:
         todo = sorted(set(strings))
@@ -52,10 +54,13 @@ class PieceTable:
         pieces: set[str] = set()
         for parts in cut:
             pieces.update(parts[1:])
-        missing = pieces.difference(self._table)
+        known = pieces & self._table.keys()
+        missing = pieces - known
+        self._again |= known
         if len(self._table) + len(missing) > self._limit:
-            self._table.clear()
-            missing = pieces
+            keep = self._again if len(self._again) + len(missing) < self._limit else known
+            self._table = {p: self._table[p] for p in keep}
+            self._again = set(known)
         self._learn(missing)
         first = self._encoded(parts[0] for parts in cut)
         find = self._table.__getitem__
@@ -63,6 +68,4 @@ class PieceTable:
         for p in missing:
             if len(p) > _LONG:
                 self._table.pop(p, None)
-        if len(self._table) > self._limit:
-            self._table.clear()
         return out

@@ -40,6 +40,8 @@ _SPAN = 1 << 40
 # Pieces of an output batch, and strings the tokenizer encodes at once; its
 # encodings are large.
 _ROWS, _STRINGS = 1024, 4096
+# Texts encoded at once.
+_TEXTS = 1000
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
            ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
@@ -47,12 +49,14 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, window int, step_id long")
 
-_TABLES: dict[str, PieceTable] = {}
+_TABLES: dict[tuple[str, int], PieceTable] = {}
+# Pieces of text a worker remembers; fewer take less memory and more time.
+PIECES = 500_000
 
 
-def _tokenizer_table(path: str) -> PieceTable:
+def _tokenizer_table(path: str, pieces: int = PIECES) -> PieceTable:
     """The worker's table for one tokenizer file; ids as little-endian uint32."""
-    if path not in _TABLES:
+    if (path, pieces) not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,8 +66,8 @@ def _tokenizer_table(path: str) -> PieceTable:
             return [struct.pack(f"<{len(ids)}I", *ids) for at in range(0, len(texts), _STRINGS) for ids in
                     (e.ids for e in tokenizer.encode_batch_fast(texts[at:at + _STRINGS],
                                                                 add_special_tokens=False))]
-        _TABLES[path] = PieceTable(encode_many)
-    return _TABLES[path]
+        _TABLES[path, pieces] = PieceTable(encode_many, pieces)
+    return _TABLES[path, pieces]
 
 
 class _Piece:
@@ -218,8 +222,8 @@ def _ids_of(piece: _Piece) -> bytes:
     return piece.ids[4 * piece.start - skip:4 * piece.end - skip]
 
 
-def _packed(batches, path: str, end_id: int, tiers, step_tokens: int):
-    table = _tokenizer_table(path)
+def _packed(batches, path: str, end_id: int, tiers, step_tokens: int, pieces: int):
+    table = _tokenizer_table(path, pieces)
     base = TaskContext.get().partitionId() * _SPAN
     packer, end = Packer(tiers, step_tokens), struct.pack("<I", end_id)
     rows, sequence = [], base
@@ -243,9 +247,9 @@ def _packed(batches, path: str, end_id: int, tiers, step_tokens: int):
 
     for b in batches:
         texts = b.column(1)
-        for at in range(0, b.num_rows, 1000):
-            docs = b.column(0)[at:at + 1000].to_pylist()
-            for doc, ids in zip(docs, table.encode(texts[at:at + 1000].to_pylist()), strict=True):
+        for at in range(0, b.num_rows, _TEXTS):
+            docs = b.column(0)[at:at + _TEXTS].to_pylist()
+            for doc, ids in zip(docs, table.encode(texts[at:at + _TEXTS].to_pylist()), strict=True):
                 out(packer.add(doc, ids + end))
                 if len(rows) >= _ROWS:
                     yield batch()
@@ -255,10 +259,11 @@ def _packed(batches, path: str, end_id: int, tiers, step_tokens: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers=TIERS,
-         step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text",
+         pieces: int = PIECES) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences: the
     document, its tokens before the piece, the piece's length and ids
     (little-endian uint32), the document's tokens with the end token, sequence
     and offset, the sequence's window size and its step group."""
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(
-        lambda batches: _packed(batches, tokenizer_path, end_id, tiers, step_tokens), SCHEMA)
+        lambda batches: _packed(batches, tokenizer_path, end_id, tiers, step_tokens, pieces), SCHEMA)
