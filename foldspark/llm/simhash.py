@@ -43,19 +43,26 @@ _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _EXACT = [(i, j) for i in range(3) for j in range(3) if i != j]
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of a whole text."""
+def bounds(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words joined by single blanks, and where its shingles of
+    ``width`` words start and end; fewer words are one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return b"", [], []
     joined = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = [0, *(spaces + 1).tolist()]
     ends = [*spaces.tolist(), len(joined)]
-    if len(words) < WORDS:
-        starts, ends = [0], [len(joined)]
-    else:
-        starts, ends = starts[:len(words) - WORDS + 1], ends[WORDS - 1:]
+    if len(words) < width:
+        return joined, [0], [len(joined)]
+    return joined, starts[:len(words) - width + 1], ends[width - 1:]
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit fingerprint of a whole text."""
+    joined, starts, ends = bounds(text, WORDS)
+    if not starts:
+        return 0
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
     for at in range(0, len(starts), _SHINGLES):
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(

@@ -306,3 +306,45 @@ def test_toxicity_stage_drops_planted_rows(spark):
     left = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, more, sf).collect()}
     assert not {p[0] for p in planted} & left and {1, 7, 9, 15} <= left
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights == ()
+
+
+def test_pipeline_near_duplicates_are_those_of_brute_force_jaccard(spark):
+    """Scattered edits around a similarity of 0.8; SimHash at four bits keeps most of these copies."""
+    random.seed(12)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(None, " ".join(random.choices(words, k=120))), (5, None), (6, " "), (7, "two words"), (8, "Two  words"),
+            (3, "same id " * 9), (3, "same id " * 9)]
+    for group in range(60):
+        base = random.choices(words, k=random.choice((40, 150, 400)))
+        for copy in range(4):
+            edited = list(base)
+            for at in random.sample(range(len(base)), copy * len(base) // 80):
+                edited[at] = random.choice(words)
+            rows.append((100 + 10 * group + copy, " ".join(edited)))
+    # more than half of a text in common, but no near copies
+    passage = random.choices(words, k=60)
+    rows += [(5000 + k, " ".join(passage + random.choices(words, k=40))) for k in range(150)]
+    random.shuffle(rows)
+
+    def grams(text):
+        own = (text or "").lower().split()
+        return {tuple(own[k:k + 5]) for k in range(len(own) - 4)} or {tuple(own)}
+    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, (number, _) in enumerate(rows):
+        groups[find(i)].append((number is None, number))
+    want = sorted(min(g, key=lambda x: (x[0], x[1] or 0)) for g in groups.values() if not g[0][0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.simhash_stage(spark, docs, SF).collect()
+    assert sorted((False, r["doc_id"]) for r in left if r["doc_id"] is not None) == want
+    assert sum(r["doc_id"] is None for r in left) == 1
+    assert corpus_pipeline.simhash_stage(spark, docs.limit(0), SF).count() == 0
