@@ -11,6 +11,7 @@ from foldspark import session
 from foldspark.functions.expressions import safe_divide
 from foldspark.operators import (clean, density, distance, evaluate, graph, hic, kmeans, layout,
                                  linkage, model, normalise, pairwise, reduce, shape)
+from foldspark.operators.prepare import PREPS
 from foldspark.plans import analysis, report
 from foldspark.plans import feature_matrix as fm
 from foldspark.schemas import FRAME_KEY
@@ -626,14 +627,14 @@ def red_mds_stress(spark, sf):
 
 @query
 def red_tsne_layout(spark, sf):
-    y, divergence = layout.tsne(_rows(spark, sf), 2, n_iter=8)
+    y, divergence = layout.tsne(_rows(spark, sf), 2)
     return y.select("row_id", F.lit(divergence).alias("divergence"),
                     F.element_at("y", 1).alias("c1"), F.element_at("y", 2).alias("c2"))
 
 
 @query
 def red_umap_layout(spark, sf):
-    y, _ = layout.umap(_rows(spark, sf), 2, n_epochs=8)
+    y, _ = layout.umap(_rows(spark, sf), 2)
     return y.select("row_id", F.element_at("y", 1).alias("c1"), F.element_at("y", 2).alias("c2"))
 
 
@@ -799,5 +800,6 @@ def mdl_score_embedding(spark, sf):
 
 @query
 def mdl_sweep(spark, sf):
-    return analysis.sweep(session.cut(tables.beads(spark, sf)), tables.LABELS, ["euclidean", "contact"], ["vc"],
-                          ["weighted"], ["svd"], n_clusters=4)
+    """The whole grid."""
+    return analysis.sweep(session.cut(tables.beads(spark, sf)), tables.LABELS, tables.METRICS, tables.NORMS,
+                          list(PREPS), list(analysis.REDUCTIONS), n_clusters=4)

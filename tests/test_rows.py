@@ -283,3 +283,25 @@ def test_a_tile_is_shuffled_once_per_super_block(spark):
     for tiles, side in ((12, 4), (13, 4), (9, 1)):
         copies = pairwise.scheduled(x, (), 3, tiles, side, True).groupBy("t").count().agg(F.max("count")).first()[0]
         assert copies <= tiles // side + 1
+
+
+def test_registered_layouts_and_sweep_run_the_whole_job(monkeypatch):
+    from foldspark import workload
+
+    class Called(Exception):
+        pass
+
+    def spy(*args, **options):
+        raise Called(args, options)
+    monkeypatch.setattr(workload, "_rows", lambda spark, sf: None)
+    monkeypatch.setattr(workload.tables, "beads", lambda spark, sf: None)
+    monkeypatch.setattr(workload.session, "cut", lambda df: df)
+    for module, name in ((layout, "tsne"), (layout, "umap"), (analysis, "sweep")):
+        monkeypatch.setattr(module, name, spy)
+    for name in ("red_tsne_layout", "red_umap_layout"):
+        with pytest.raises(Called) as call:
+            getattr(workload, name)(None, "")
+        assert call.value.args == ((None, 2), {})
+    with pytest.raises(Called) as call:
+        workload.mdl_sweep(None, "")
+    assert [len(set(grid)) for grid in call.value.args[0][2:6]] == [5, 4, 4, 5]
