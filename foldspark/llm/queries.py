@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, chat, masked_lm, packing, quality_rules, secret_scan, simhash, topk, toxicity, url_filter
+from foldspark.llm import (bpe, chat, importance, masked_lm, packing, quality_rules, secret_scan, sharding, simhash,
+                           topk, toxicity, url_filter, whitening)
 from foldspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,85 @@ def op9_bpe(spark, sf_dir):
 def op10_masked_lm(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return masked_lm.score(docs, *masked_lm.fit(docs))
+
+
+@_query
+def op11_whitening(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model, 8)
+    ratios = (model.values / model.trace).tolist() if model.trace else []
+    share = F.array(*map(F.lit, ratios)) if ratios else F.array().cast("array<double>")
+    return (whitening.whiten(rows, model, 8)
+            .select("vec_id", "deviation", F.posexplode("whitened").alias("_k", "whitened"))
+            .select("vec_id", (F.col("_k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+                    "whitened", F.get(share, F.col("_k")).alias("explained"), F.lit(error).alias("identity_error")))
+
+
+# CRC-32 by bytes for the twins; the table of 256 follows from the polynomial.
+_CRC_STEPS = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS steps)"""
+
+
+def _crc_sql(text: str) -> str:
+    """DuckDB expression, beside ``crc``: the CRC-32 of a text's UTF-8 bytes."""
+    return (f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            "lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]), "
+            "4294967295::BIGINT))")
+
+
+@_query
+def op12_importance(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    gain = importance.fit(docs, _table(spark, sf_dir, "benchmark"))
+    return importance.resample(importance.weigh(docs, gain)).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+_WORDS_SQL = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLES["op12_importance"] = f"""WITH {_CRC_STEPS},
+d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS_SQL} AS words FROM documents),
+dw AS (SELECT k, unnest(words) AS word FROM d),
+bw AS (SELECT unnest({_WORDS_SQL}) AS word FROM benchmark),
+bucket AS (SELECT word, {_crc_sql("word")} % 10000 AS b
+  FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT b, count(*) AS s FROM dw JOIN bucket USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN bucket USING (word) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (b)),
+w AS (SELECT k, sum(gain)::BIGINT AS weight FROM dw JOIN bucket USING (word) JOIN g USING (b) GROUP BY k),
+x AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5)
+      / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (k)),
+r AS (SELECT doc_id, n_features, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM x WHERE n_features >= 20)
+SELECT doc_id, x.n_features, weight, score,
+  CASE WHEN place <= (SELECT count(*) FROM r) * 10 // 100 THEN place END::BIGINT AS rank
+FROM x LEFT JOIN r USING (doc_id)
+"""
+
+SHARDS = 16
+
+
+@_query
+def op13_sharding(spark, sf_dir):
+    docs = sharding.sizes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    placed = sharding.assign(docs, "doc_id", [1.0] * SHARDS, [1.0])
+    return sharding.numbered(placed, ["doc_id", "size", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _bid_sql(shard: str) -> str:
+    return f"-1.0 / ln((('0x' || substr(md5(doc_id || ':' || {shard}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+ORACLES["op13_sharding"] = f"""WITH {_CRC_STEPS},
+d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+    {_crc_sql("coalesce(text, '')")} AS text_crc32,
+    list_transform(range(17), lambda k: {_bid_sql("k")}) AS bids FROM documents, crc),
+p AS (SELECT doc_id, size, text_crc32, (list_position(bids[:16], list_max(bids[:16])) - 1)::INTEGER AS shard,
+    (list_position(bids, list_max(bids)) - 1)::INTEGER AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM p
+"""
