@@ -23,11 +23,12 @@ import os
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from foldspark.llm.chunks import PieceTable
+from foldspark.llm.chunks import JoinedTable
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32 * 2048
@@ -39,9 +40,9 @@ _STEPS = 4
 _SPAN = 1 << 40
 # Pieces of an output batch, and strings the tokenizer encodes at once; its
 # encodings are large.
-_ROWS, _STRINGS = 1024, 4096
+_ROWS, _STRINGS = 1024, 16
 # Texts encoded at once.
-_TEXTS = 1000
+_TEXTS = 2000
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
            ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
@@ -49,12 +50,12 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, window int, step_id long")
 
-_TABLES: dict[tuple[str, int], PieceTable] = {}
+_TABLES: dict[tuple[str, int], JoinedTable] = {}
 # Pieces of text a worker remembers; fewer take less memory and more time.
-PIECES = 500_000
+PIECES = 600_000
 
 
-def _tokenizer_table(path: str, pieces: int = PIECES) -> PieceTable:
+def _tokenizer_table(path: str, pieces: int = PIECES) -> JoinedTable:
     """The worker's table for one tokenizer file; ids as little-endian uint32."""
     if (path, pieces) not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,10 +64,15 @@ def _tokenizer_table(path: str, pieces: int = PIECES) -> PieceTable:
         tokenizer = Tokenizer.from_file(path)
 
         def encode_many(texts):
-            return [struct.pack(f"<{len(ids)}I", *ids) for at in range(0, len(texts), _STRINGS) for ids in
-                    (e.ids for e in tokenizer.encode_batch_fast(texts[at:at + _STRINGS],
-                                                                add_special_tokens=False))]
-        _TABLES[path, pieces] = PieceTable(encode_many, pieces)
+            for at in range(0, len(texts), _STRINGS):
+                for e in tokenizer.encode_batch_fast(texts[at:at + _STRINGS], add_special_tokens=False):
+                    yield e.ids
+
+        # a byte-level vocabulary writes every byte as one character
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        lengths[list(vocab.values())] = [len(t) for t in vocab]
+        _TABLES[path, pieces] = JoinedTable(encode_many, lengths, pieces)
     return _TABLES[path, pieces]
 
 
@@ -248,8 +254,8 @@ def _packed(batches, path: str, end_id: int, tiers, step_tokens: int, pieces: in
     for b in batches:
         texts = b.column(1)
         for at in range(0, b.num_rows, _TEXTS):
-            docs = b.column(0)[at:at + _TEXTS].to_pylist()
-            for doc, ids in zip(docs, table.encode(texts[at:at + _TEXTS].to_pylist()), strict=True):
+            docs = b.column(0).slice(at, _TEXTS).to_pylist()
+            for doc, ids in zip(docs, table.encode(texts.slice(at, _TEXTS)), strict=True):
                 out(packer.add(doc, ids + end))
                 if len(rows) >= _ROWS:
                     yield batch()

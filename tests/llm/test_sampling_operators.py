@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,28 @@ def test_sharding_odd_rows(spark, tmp_path):
 def test_sharding_runs_without_python_workers(spark):
     plan = queries.QUERIES["op13_sharding"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "MapIn" not in plan
+
+
+# ---- the packer's piece table ----------------------------------------------
+
+@pytest.mark.parametrize("limit", [20, 100_000])
+def test_joined_table_equals_the_library(limit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from foldspark.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    random.seed(9)
+    bits = ["a", "the", "Xy", "é", "日本", "\n", "\t", " ", "  ", "\r\n", "'s", "don't", "12", "3.5", "...", "!)", " ",
+            " ", "<|endoftext|>", "🙂", "́", "_", "#", "\x00", "　", "-", "'", "word,"]
+    texts = ["".join(random.choices([*bits, *[" "] * 12], k=random.choice((0, 1, 3, 30)))) for _ in range(4000)]
+    texts += [None, "", " ", "  ", "a ", " a", "a\n", "a\n b", "x" * 5000, "x " * 5000, ("y" * 70 + " ") * 50]
+    table = packing._tokenizer_table(path, limit)
+    for at in range(0, len(texts), 100):
+        part = texts[at:at + 100]
+        column = pa.array([None, *part], pa.string()).slice(1)
+        want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert table.encode(column) == want == table.encode(column)
+    assert len(table._young) <= limit + 200 and table.encode(pa.array([], pa.string())) == []
