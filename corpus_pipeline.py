@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import near, packing, quality_rules, secret_scan, toxicity
+from foldspark.llm import packing, quality_rules, secret_scan, simhash, toxicity
 from foldspark.llm.frames import Aside, filter_computed
 from foldspark.session import cut, tune
 
@@ -34,10 +34,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, by five-word shingles at a similarity of
-    0.8 or more, the document of lowest id stays."""
+    """Of each near-duplicate group, by fingerprints of four-word shingles with
+    at most four differing bits, the document of lowest id stays."""
     tune(spark)
-    return near.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their ids, in packed sequences."""
     tune(spark)
-    # a small table, as the stages before leave less memory
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), pieces=100_000)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality rules", quality_stage), ("toxicity", toxicity_stage), ("near duplicates", simhash_stage),
