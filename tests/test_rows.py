@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows_frame
 from foldspark import session
 from foldspark.operators import (density, evaluate, graph, kmeans, layout, linkage, model, pairwise,
-                                 reduce, spanning, spectral)
+                                 reduce, spanning, spectral, tsne)
 from foldspark.plans import analysis
 from test_matrices import make_beads, random_frames
 
@@ -205,10 +205,73 @@ def test_layouts(spark, x):
     a = layout.umap(x, 2, 6, n_epochs=2)[0].orderBy("row_id").collect()
     b = layout.umap(x.repartition(3), 2, 6, n_epochs=2)[0].orderBy("row_id").collect()
     assert np.allclose([r.y for r in a], [r.y for r in b])
-    y, kl = layout.tsne(x, 2, 5.0, n_iter=3)
+    y, kl = layout.tsne(x, 3, 5.0, n_iter=3)
     assert y.count() == 42 and kl > 0
 
 
+@pytest.mark.parametrize("k", [1, 2])
+def test_lattice_repulsion_against_all_pairs(k):
+    rng = np.random.default_rng(0)
+    for scale in (1e-4, 1.0, 20.0):
+        lattice = tsne.Lattice(k)
+        y = rng.normal(size=(500, k)) * scale
+        nodes, charges = lattice.charges(y[200:])
+        assert np.allclose(charges.sum(0), [300, *y[200:].sum(0)])
+        push, total = lattice.push(y[:200], nodes, charges)
+        diff = y[:200, None] - y[None]
+        q = 1 / (1 + (diff ** 2).sum(2))
+        want = ((q * q)[:, :, None] * diff).sum(1)
+        assert np.abs(push - want).max() < 0.02 * np.abs(want).max()
+        everything = (1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))).sum()
+        assert abs(total / everything - 1) < 0.01
+
+
+def plain_tsne(p, y, n_iter, exaggeration=12.0):
+    """Exact gradient rounds over a dense matrix of weights; positions and divergence."""
+    u, gain, rate = np.zeros_like(y), np.ones_like(y), max(len(y) / exaggeration / 4, 50.0)
+
+    def near(y):
+        diff = y[:, None] - y[None]
+        q = 1 / (1 + (diff ** 2).sum(2))
+        np.fill_diagonal(q, 0)
+        return diff, q
+    for t in range(n_iter):
+        boost, momentum = (exaggeration, 0.5) if t < min(250, n_iter // 4) else (1.0, 0.8)
+        diff, q = near(y)
+        grad = 4 * (((boost * p - q / q.sum()) * q)[:, :, None] * diff).sum(1)
+        gain = np.maximum(np.where(u * grad < 0, gain + 0.2, gain * 0.8), 0.01)
+        u = momentum * u - rate * gain * grad
+        y = y + u
+    q = near(y)[1]
+    linked = p > 0
+    return y, float((p[linked] * np.log(p[linked] * q.sum() / q[linked])).sum())
+
+
+def test_tsne_descends_like_exact_rounds(spark, x):
+    """The same rounds in one block and in many; the divergence is that of the
+    positions, and as low as exact gradients reach."""
+    weights = np.zeros((42, 42))
+    for r in layout.joint_p(layout.conditional_p(x, 5.0), 42).collect():
+        weights[r.a, r.b] = r.p
+    start = np.array([r.y for r in layout._start(x.select("row_id"), 2, 0, 1e-4).orderBy("row_id").collect()])
+    found = {}
+    for name, blocks in (("one", {}), ("many", {"block_rows": 9})):
+        y, kl = layout.tsne(x, 2, 5.0, n_iter=8, **blocks)
+        found[name] = np.array([r.y for r in y.orderBy("row_id").collect()])
+    assert np.allclose(found["one"], found["many"], rtol=1e-6, atol=1e-9)
+    # later on, small differences grow: few rows descend at a large rate
+    y, _ = layout.tsne(x, 2, 5.0, n_iter=2)
+    want, _ = plain_tsne(weights, start, 2)
+    assert np.abs(np.array([r.y for r in y.orderBy("row_id").collect()]) - want).max() < 0.02 * np.abs(want).max()
+    y, kl = layout.tsne(x, 2, 5.0, n_iter=300)
+    at = np.array([r.y for r in y.orderBy("row_id").collect()])
+    q = 1 / (1 + ((at[:, None] - at[None]) ** 2).sum(2))
+    np.fill_diagonal(q, 0)
+    linked = weights > 0
+    assert abs(kl - (weights[linked] * np.log(weights[linked] * q.sum() / q[linked])).sum()) < 1e-9
+    assert kl < plain_tsne(weights, start, 300)[1] * 1.1 + 0.02
+
+
 def test_spectral(spark, points, x):
     emb, values = spectral.spectral_embedding(x, 2, 1.0, rounds=12, settled=False)
     w = np.exp(-dist(points) ** 2)
