@@ -216,13 +216,13 @@ def test_lattice_repulsion_against_all_pairs(k):
         lattice = tsne.Lattice(k)
         y = rng.normal(size=(500, k)) * scale
         nodes, charges = lattice.charges(y[200:])
-        assert np.allclose(charges.sum(0), [300, *y[200:].sum(0)])
+        assert np.allclose(charges.sum(0)[:-1], [300, *y[200:].sum(0)])
         push, total = lattice.push(y[:200], nodes, charges)
         diff = y[:200, None] - y[None]
         q = 1 / (1 + (diff ** 2).sum(2))
         want = ((q * q)[:, :, None] * diff).sum(1)
         assert np.abs(push - want).max() < 0.02 * np.abs(want).max()
-        everything = (1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))).sum()
+        everything = (1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))).sum() - 500
         assert abs(total / everything - 1) < 0.01
 
 
