@@ -1,9 +1,12 @@
 """Frames, norms and the feature matrix against plain numpy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldspark import session
 from foldspark.operators import clean, distance, normalise, shape
 from foldspark.plans import analysis
 from foldspark.plans import feature_matrix as fm
@@ -75,6 +78,37 @@ def test_mixed_sizes_use_both_layouts(spark):
         assert all(abs(a[k][c] - b[k][c]) < 1e-9 for c in a[k])
 
 
+@pytest.mark.parametrize("side", [2, 3, 64])
+def test_tiles_of_any_side_follow_the_recurrence(spark, side):
+    frames = random_frames()
+    square = distance.distances(make_beads(spark, frames), "euclidean", square=True)
+    got = matrices(normalise.ice(square, max_iter=5, width=6, packed_beads=0, tile_side=side))
+    for k, xyz in frames.items():
+        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+        assert np.allclose(dense(got[k], len(xyz)), balance(d, 5), rtol=1e-9, atol=1e-12)
+
+
+def test_a_round_of_balancing_does_not_shuffle_cells(spark):
+    square = distance.distances(make_beads(spark, random_frames()), "euclidean", square=True)
+    tiles = normalise._tiles(session.cut(square), 2, 4).persist()
+    tiles.count()
+    blocks = session.cut(square.groupBy(*KEY).agg(F.floor(F.max("i") / 2).alias("top")))
+    ones = F.array_repeat(F.lit(1.0), 2)
+    state = session.cut(blocks.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("block"), ones.alias("b")))
+    round_ = normalise._tile_sums(normalise._beside(tiles, state, blocks), 2)
+    round_.collect()
+    lines = round_._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].split("\n")
+    at = next(k for k, line in enumerate(lines) if "InMemoryTableScan" in line)
+    depth, above = re.search(r"\w", lines[at]).start(), []
+    for line in reversed(lines[:at]):
+        own = re.search(r"\w", line)
+        if own and own.start() < depth:
+            depth = own.start()
+            above.append(line)
+    assert any("MapInArrow" in line for line in above) and not any("Exchange" in line for line in above)
+    tiles.unpersist()
+
+
 def test_balanced_rows_add_up_to_one(spark):
     square = distance.distances(make_beads(spark, random_frames(sizes=(5, 6, 7))), "euclidean", True)
     even = normalise.ice(square, max_iter=500, tol=1e-13, balanced=True)
