@@ -186,6 +186,35 @@ def test_kmeans_keeps_the_best_run(spark, x):
     assert model.optimal_k(x, 5).first()["silhouette_k"] == 3
 
 
+def test_kmeans_runs_together_end_in_fixed_points(spark, points, x):
+    """Each run alone gives what it gives among others, at any partitioning; its
+    centres are the means of the rows nearest to them, and its inertia falls."""
+    runs = [(1, 5), (3, 0), (3, 1), (6, 2)]
+    fits = kmeans.fit_runs(x, runs)
+    alone = kmeans.fit_runs(x.repartition(5), [(3, 1)])[0]
+    assert np.allclose(alone.centres, fits[2].centres) and alone.n_iter == fits[2].n_iter
+    spread = points.var(axis=0, ddof=1).mean()
+    for (k, _), f in zip(runs, fits, strict=True):
+        far = ((points[:, None] - f.centres[None]) ** 2).sum(2)
+        near = far.argmin(1)
+        means = np.array([points[near == c].mean(0) for c in range(k)])
+        assert ((means - f.centres) ** 2).sum() <= 1e-4 * spread
+        assert abs(f.inertia - far.min(1).sum()) < 1e-9 and len(f.series) == f.n_iter + 1
+        assert all(a >= b - 1e-9 for a, b in zip(f.series, f.series[1:]))
+    assert np.allclose(fits[0].centres, points.mean(0)) and abs(fits[0].inertia - kmeans.total_inertia(x).first()[0]) < 1e-9
+    got = {r.row_id: r.labels for r in kmeans.labelled(x, fits).collect()}
+    assert all(got[i][1] == ((points[i] - fits[1].centres) ** 2).sum(1).argmin() for i in got)
+    # starts are rows, and lie apart: three far groups get a centre each
+    assert len({tuple(np.round(c)) for c in fits[1].centres}) == 3
+
+
+def test_kmeans_with_fewer_distinct_rows_than_clusters(spark):
+    x = rows_frame(spark, np.repeat([[0.0, 1.0], [4.0, 1.0]], 5, axis=0))
+    assign, facts = kmeans.kmeans(x, 4, 2)
+    assert facts["best_inertia"] == 0 and facts["inertia_series"][-1] == 0 and len(facts["cluster_centers"]) == 4
+    assert assign.select("cluster").distinct().count() == 2
+
+
 def test_knee_of_a_bent_curve(spark):
     bent = [(0, k, float(100 - 20 * min(k, 5) - min(k - 5, 0) * 0 - max(k - 5, 0) * 0.1)) for k in range(2, 16)]
     flat = [(1, k, 1.0) for k in range(2, 6)]
