@@ -19,6 +19,7 @@ no rows. Other columns of the input are not read, so they cannot clash."""
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import struct
 from collections.abc import Iterable, Iterator
@@ -228,6 +229,16 @@ def _ids_of(piece: _Piece) -> bytes:
     return piece.ids[4 * piece.start - skip:4 * piece.end - skip]
 
 
+def _uncollected(batches):
+    """``batches`` with the cycle collector off: a table of many strings and
+    lists of ids by the million make it search often, and hold no cycles."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+
+
 def _packed(batches, path: str, end_id: int, tiers, step_tokens: int, pieces: int):
     table = _tokenizer_table(path, pieces)
     base = TaskContext.get().partitionId() * _SPAN
@@ -272,4 +283,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers=TIERS,
     (little-endian uint32), the document's tokens with the end token, sequence
     and offset, the sequence's window size and its step group."""
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(
-        lambda batches: _packed(batches, tokenizer_path, end_id, tiers, step_tokens, pieces), SCHEMA)
+        lambda batches: _uncollected(_packed(batches, tokenizer_path, end_id, tiers, step_tokens, pieces)), SCHEMA)
