@@ -18,6 +18,7 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
@@ -26,11 +27,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``, else one in the session's warehouse, which the
-    driver and the executors share as well."""
+    ``spark.checkpoint.dir``, else one in the session's warehouse. On a cluster
+    a warehouse on the local file system is refused, as nothing says that the
+    machines share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/foldspark-state"
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return folder.rstrip("/")
 
 
