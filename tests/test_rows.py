@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_frame
 from foldspark import session
-from foldspark.operators import (density, evaluate, graph, kmeans, layout, linkage, model, pairwise,
+from foldspark.operators import (density, evaluate, graph, kmeans, krylov, layout, linkage, model, pairwise,
                                  reduce, spanning, spectral, tsne)
 from foldspark.plans import analysis
 from test_matrices import make_beads, random_frames
@@ -397,3 +397,50 @@ def test_registered_layouts_and_sweep_run_the_whole_job(monkeypatch):
     with pytest.raises(Called) as call:
         workload.mdl_sweep(None, "")
     assert [len(set(grid)) for grid in call.value.args[0][2:6]] == [5, 4, 4, 5]
+
+
+def _same_reduction(out, matrix, k):
+    """Values, loadings up to their sign rule, and scores against numpy's."""
+    _, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    v = vt[:k].T
+    v = v * np.where(v[np.abs(v).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+    loadings = out.components.toPandas().pivot(index="f", columns="k", values="loading").to_numpy()
+    assert np.allclose(loadings, v, atol=1e-8)
+    scores = [r["e"] for r in out.embed.orderBy("row_id").collect()]
+    assert np.allclose(scores, matrix @ v, atol=1e-7)
+    total = (matrix ** 2).sum()
+    assert np.allclose([r["ratio"] for r in out.spectrum.orderBy("k").collect()], s[:k] ** 2 / total)
+
+
+def test_reduction_of_more_columns_than_rows(spark):
+    """Loadings of 5,000 columns come from three column blocks."""
+    p = np.random.default_rng(3).normal(size=(30, 5000)) + 4.0
+    out = reduce.pca(rows_frame(spark, p, cluster=["a"] * 30).repartition(3), 3)
+    assert out.embed.columns == ["row_id", "cluster", "e"]
+    _same_reduction(out, p - p.mean(0), 3)
+
+
+def test_reduction_by_rounds_and_restarts(spark, monkeypatch):
+    """Small blocks take several rounds, and a small limit restarts the basis."""
+    for name, value in (("TILE_COLUMNS", 25), ("TILE_ROWS", 40), ("BLOCK", 8), ("LIMIT", 1), ("_FEW", 1)):
+        monkeypatch.setattr(krylov, name, value)
+    restarts = []
+    extend = krylov._Basis.extend
+    monkeypatch.setattr(krylov._Basis, "extend",
+                        lambda self, width, turn: (restarts.append(turn is not None), extend(self, width, turn))[1])
+    p = np.random.default_rng(4).normal(size=(150, 60)) * 1.12 ** np.arange(60)
+    _same_reduction(reduce.svd(rows_frame(spark, p).repartition(3), 2), p, 2)
+    assert any(restarts)
+
+
+def test_reduction_of_low_rank_and_of_nothing(spark):
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 12))
+    out = reduce.svd(rows_frame(spark, p), 5)
+    assert out.spectrum.count() == 3
+    _same_reduction(out, p, 3)
+    same = reduce.pca(rows_frame(spark, np.full((6, 4), 2.5)), 2)
+    assert same.spectrum.count() == same.components.count() == 0
+    assert [r["e"] for r in same.embed.collect()] == [[]] * 6
+    empty = reduce.pca(rows_frame(spark, np.ones((1, 4))).filter("row_id > 5"), 2)
+    assert empty.embed.count() == empty.spectrum.count() == 0
