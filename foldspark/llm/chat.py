@@ -19,9 +19,11 @@ Ties go to the role named first. Every line gives one row; reading the rendered
 lines in order gives the canonical transcript, in which a header opens every
 turn.
 
-Rows: a null text counts as an empty line; rows with a null transcript id form
-one transcript; a null place stands before all others; rows of the same place
-stand in the order of their texts. An empty table gives no rows."""
+Rows: ids and turns are whole numbers, of either sign; a null text counts as an
+empty line; rows with a null transcript id form one transcript; a null turn stands
+before all others; lines of the same turn and place there stand in the order of
+their texts, repeated ones together. Columns that are not named play no part, and
+their names may be any. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.operators.shape import dense_index
 from foldspark.session import cut
 
 ROLES = ("system", "user", "assistant")
@@ -43,11 +46,10 @@ NAMES = (("system", "instructions", "context"), ("user", "human", "question", "q
 # Upper limits of a line's length in code points, by which lines are told apart.
 LENGTHS = (0, 40, 80, 160, 320, 640, 1280)
 SMOOTHING = 0.5
-# Source rows whose lines form a block, and blocks that are solved together.
+# Lines of a block (a power of two), and blocks that are solved together.
 BLOCK = 64
 FAN = 256
-# Places of a source row's lines.
-_LINES = 1 << 20
+# Stands for a null id or turn.
 _NO_ID = -(1 << 63)
 _SYMBOLS = (len(ROLES) + 1) * (len(LENGTHS) + 1) * 2 * 2
 
@@ -73,20 +75,21 @@ def content(text: Column) -> Column:
 
 def lines_of(transcripts: DataFrame, id_col: str, text_col: str, turn_col: str | None = None,
              role_col: str | None = None) -> DataFrame:
-    """``(id, place, text)``, and ``role``, of every line. Turns order the rows of
-    an id and count from 0; a text has up to 2^20 lines."""
-    turn = F.lit(0) if turn_col is None else F.greatest(F.coalesce(F.col(turn_col) + 1, F.lit(0)), F.lit(0))
+    """``(id, turn, line, text)``, and ``role``, of every line: the lines of a text
+    count from 0. Turns order the texts of an id."""
+    none = F.lit(_NO_ID)
+    turn = none if turn_col is None else F.coalesce(F.col(turn_col).cast("long"), none)
     role = [] if role_col is None else [F.col(role_col).alias("role")]
-    lines = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_line", "text")
-    return (transcripts.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
-                               turn.cast("long").alias("_turn"), *role, lines)
-            .withColumn("place", F.col("_turn") * _LINES + F.col("_line")).drop("_turn", "_line"))
+    lines = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "text")
+    return transcripts.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"),
+                              turn.alias("turn"), *role, lines)
 
 
 def observed(lines: DataFrame) -> DataFrame:
     """``lines`` with the marker's role, the line's content and its symbol,
     whose lowest bit tells the transcript's first place."""
-    first = lines.groupBy("id").agg(F.min("place").alias("_first"))
+    place = F.struct("turn", "line")
+    first = lines.groupBy("id").agg(F.min(place).alias("_first"))
     length = F.lit(0)
     for limit in LENGTHS:
         length = length + (F.length("content") > limit).cast("int")
@@ -96,7 +99,7 @@ def observed(lines: DataFrame) -> DataFrame:
     return (lines.withColumn("marker", marked_role(F.col("text")))
             .withColumn("content", F.when(marked, content(F.col("text"))).otherwise(F.col("text")))
             .join(first, "id")
-            .withColumn("symbol", parts + (F.col("place") == F.col("_first")).cast("int")).drop("_first"))
+            .withColumn("symbol", parts + (place == F.col("_first")).cast("int")).drop("_first"))
 
 
 # State 2 r is a line of role r that opens a turn, 2 r + 1 one that doesn't.
@@ -128,8 +131,7 @@ def fit(lines: DataFrame) -> Model:
     used."""
     role = F.array_position(F.array(*map(F.lit, ROLES)), F.lower("role")).cast("int") - 1
     known = cut(lines.filter(role >= 0).select(
-        "id", F.shiftright("place", 20).alias("turn"), "symbol", role.alias("r"),
-        (F.col("place") % _LINES > 0).cast("int").alias("later")))
+        "id", "turn", "symbol", role.alias("r"), (F.col("line") > 0).cast("int").alias("later")))
     shown = [[0.0] * _SYMBOLS for _ in range(_N)]
     for row in known.groupBy("r", "later", "symbol").agg(F.count(F.lit(1)).alias("n")).collect():
         shown[2 * row["r"] + row["later"]][row["symbol"]] = row["n"]
@@ -139,7 +141,7 @@ def fit(lines: DataFrame) -> Model:
                                       F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("further")).collect():
         change[2 * row["r"]][2 * row["r"] + 1] = row["second"]
         change[2 * row["r"] + 1][2 * row["r"] + 1] = row["further"]
-    after = turns.select("id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("to"))
+    after = turns.filter(F.col("turn") > _NO_ID).select("id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("to"))
     for row in (turns.join(after, ["id", "turn"]).groupBy("r", (F.col("n") > 1).cast("int").alias("later"), "to")
                 .agg(F.count(F.lit(1)).alias("n")).collect()):
         change[2 * row["r"] + row["later"]][2 * row["to"]] = row["n"]
@@ -240,7 +242,7 @@ def _written(rows, schema: pa.Schema, size: int = 4096):
 
 _MATRIX = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("matrix", pa.list_(pa.float64()))])
 _END = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("before", pa.int32()), ("end", pa.int32())])
-_LINE = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("content", pa.string()), ("role", pa.int32()),
+_LINE = pa.schema([("id", pa.int64()), ("turn", pa.int64()), ("line", pa.int32()), ("content", pa.string()), ("role", pa.int32()),
                    ("new_turn", pa.bool_())])
 
 
@@ -271,7 +273,7 @@ def _decode_lines(batches, model):
             rows = list(found)
             states = decode([r["symbol"] for r in rows], model, rows[0]["before"], rows[0]["end"])
             for r, state in zip(rows, states, strict=True):
-                yield id_, r["place"], r["content"], state // 2, state % 2 == 0
+                yield id_, r["turn"], r["line"], r["content"], state // 2, state % 2 == 0
     yield from _written(decoded(), _LINE)
 
 
@@ -292,25 +294,35 @@ def solve(matrices: DataFrame) -> DataFrame:
         _solve_group, "id long, block long, before int, end int")
 
 
+def _in_blocks(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``place``, the running number in the transcript, and
+    ``block``. A range-partitioned sort numbers them, and equal lines are told
+    apart by where they stand, so neither a long text nor a transcript that holds
+    most rows comes to one task."""
+    told = lines.withColumn("_tie", F.monotonically_increasing_id())
+    numbered = dense_index(told, ["id", "turn", "line", "text", "_tie"], "_number")
+    first = numbered.groupBy("id").agg(F.min("_number").alias("_from"))
+    return (numbered.join(first, "id").withColumn("place", F.col("_number") - F.col("_from"))
+            .withColumn("block", F.shiftright("place", BLOCK.bit_length() - 1)))
+
+
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """``(id, turn, line, role, new_turn, rendered)`` of every ``observed`` line:
     its source row and place there, the role found, whether a turn opens, and
     the line's part of the canonical transcript."""
-    blocked = lines.withColumn("block", F.shiftright("place", 20 + BLOCK.bit_length() - 1))
+    blocked = cut(_in_blocks(lines).select("id", "block", "place", "turn", "line", "content", "symbol"))
 
     def by_block(frame):
-        return (frame.repartition("id", "block").sortWithinPartitions("id", "block", "place", "text"))
+        return frame.repartition("id", "block").sortWithinPartitions("id", "block", "place")
 
-    matrices = cut(by_block(blocked.select("id", "block", "place", "text", "symbol")).mapInArrow(
+    matrices = cut(by_block(blocked.select("id", "block", "place", "symbol")).mapInArrow(
         partial(_reduce_lines, model=model), "id long, block long, matrix array<double>"))
-    placed = blocked.select("id", "block", "place", "text", "content", "symbol").join(
-        cut(solve(matrices)), ["id", "block"])
+    placed = blocked.join(cut(solve(matrices)), ["id", "block"])
     found = by_block(placed).mapInArrow(partial(_decode_lines, model=model),
-                                        "id long, place long, content string, role int, new_turn boolean")
+                                        "id long, turn long, line int, content string, role int, new_turn boolean")
     role = F.get(F.array(*map(F.lit, ROLES)), F.col("role"))
     header = F.when(F.col("new_turn"), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise("")
     return found.select(
-        F.nullif("id", F.lit(_NO_ID)).alias("id"),
-        F.nullif(F.shiftright("place", 20) - 1, F.lit(-1).cast("long")).alias("turn"),
-        (F.col("place") % _LINES).alias("line"), role.alias("role"), "new_turn",
+        F.nullif("id", F.lit(_NO_ID)).alias("id"), F.nullif("turn", F.lit(_NO_ID)).alias("turn"),
+        F.col("line").cast("long").alias("line"), role.alias("role"), "new_turn",
         F.concat(header, "content", F.lit("\n")).alias("rendered"))

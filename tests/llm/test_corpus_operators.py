@@ -212,7 +212,7 @@ def test_blocks_decode_like_one_sequence(spark, monkeypatch):
     lines = chat.observed(chat.lines_of(talk, "conv_id", "text", "turn", "role"))
     model = chat.fit(lines)
     found = collections.defaultdict(list)
-    for r in sorted(lines.collect(), key=lambda r: (r["id"], r["place"], r["text"])):
+    for r in sorted(lines.collect(), key=lambda r: (r["id"], r["turn"], r["line"], r["text"])):
         found[r["id"]].append(r["symbol"])
     got = collections.defaultdict(list)
     for r in chat.parse(lines, model).collect():
@@ -229,6 +229,30 @@ def test_blocks_decode_like_one_sequence(spark, monkeypatch):
     assert chat.parse(lines.limit(0), model).count() == 0
 
 
+def test_chat_blocks_by_lines(spark):
+    """A text of many lines, negative turns, a hot null id of repeated rows, and
+    columns with the operator's own names."""
+    rows = [(7, -3, "user", "user: " + "\n".join("word" for _ in range(3000))), (7, -2, "assistant", "bot: yes"),
+            (8, -5, "user", "user: a?"), (8, 0, "assistant", "b")]
+    rows += [(None, None, "user", "user: again")] * 500
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(
+        {c: F.lit("odd") for c in ("place", "block", "_number", "symbol", "id")}).repartition(4)
+    lines = chat.observed(chat.lines_of(talk, "conv_id", "text", "turn", "role"))
+    blocks = chat._in_blocks(lines).groupBy("id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("p"))
+    assert blocks.agg(F.max("n")).first()[0] == chat.BLOCK
+    assert blocks.filter("id = 7").agg(F.max("p")).first()[0] == 3000
+    model = chat.fit(lines)
+    got = chat.parse(lines, model).collect()
+    assert len(got) == 3000 + 1 + 2 + 500
+    long_text = sorted((r["turn"], r["line"], r["role"], r["new_turn"]) for r in got if r["id"] == 7)
+    assert [r[:2] for r in long_text] == [(-3, k) for k in range(3000)] + [(-2, 0)]
+    symbols = [r["symbol"] for r in lines.filter("id = 7").orderBy("turn", "line").collect()]
+    assert [(chat.ROLES.index(r[2]), r[3]) for r in long_text] == [
+        (s // 2, s % 2 == 0) for s in brute_viterbi(symbols, model)]
+    assert {r["turn"] for r in got if r["id"] == 8} == {-5, 0}
+    assert [r["turn"] for r in got if r["id"] is None] == [None] * 500
+
+
 # ---- masked language model -------------------------------------------------
 
 def test_language_model_prefers_order(spark):
