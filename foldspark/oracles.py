@@ -197,7 +197,7 @@ m AS (SELECT label, avg(v) FILTER (NOT isnan(v)) AS m FROM pairs GROUP BY ALL)
 SELECT {KEY}, i, j, {r6('CASE WHEN isnan(v) THEN m ELSE v END')} AS v
 FROM pairs JOIN m USING (label) WHERE i < j"""
 _BAD_X = f"""{BEADS}, {SIGNED}, {WIDTH}, {pairs('pearsons', 'signed')},
-x AS (SELECT {KEY}, {F_INDEX} AS f, {FLOG} AS v FROM pairs, w WHERE i < j)"""
+x AS MATERIALIZED (SELECT {KEY}, {F_INDEX} AS f, {FLOG} AS v FROM pairs, w WHERE i < j)"""
 ORACLES["flt_final_fill"] = f"""WITH {_BAD_X},
 m AS (SELECT avg(v) FILTER (NOT isnan(v)) AS m FROM x)
 SELECT {KEY}, f, {r6('CASE WHEN isnan(v) OR isinf(v) THEN m ELSE v END')} AS v,
