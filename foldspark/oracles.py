@@ -619,6 +619,9 @@ def spectrum(centred: bool) -> str:
 
 
 ORACLES["red_pca"] = f"{spectrum(True)} SELECT k, {r6('value')} AS value, {r6('value / t')} AS ratio FROM pairs, total"
+ORACLES["red_n_share"] = f"""{spectrum(True)},
+running AS (SELECT k, sum(value) OVER (ORDER BY k) / t AS c FROM pairs, total)
+SELECT coalesce(min(k) FILTER (c >= 0.05), 1) AS k FROM running"""
 ORACLES["red_svd"] = f"{spectrum(False)} SELECT k, {r6('sqrt(value)')} AS value, {r6('value / t')} AS ratio FROM pairs, total"
 ORACLES["red_top_loadings"] = f"""{spectrum(True)}, l AS (SELECT unnest(range(len(v))) AS f, unnest(v) AS x FROM pairs WHERE k = 1)
 SELECT f, {r6('abs(x)')} AS importance FROM l ORDER BY abs(x) DESC, f LIMIT 10"""

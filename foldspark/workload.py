@@ -541,6 +541,12 @@ def red_pca(spark, sf):
     return rounded(out.spectrum, "value", "ratio")
 
 
+@query
+def red_n_share(spark, sf):
+    """Components that reach a twentieth of the variance, from the PCA spectrum."""
+    return reduce.components_for(reduce.pca(_rows(spark, sf), 3).spectrum, 0.05)
+
+
 @query
 def red_pca_scores(spark, sf):
     return reduce.pca(_rows(spark, sf), 2).embed.select(
