@@ -1,19 +1,24 @@
 """Document scores by masked pseudo-likelihood.
 
-A small bidirectional network predicts a word from the ``WINDOW`` words on
+A small bidirectional network predicts every word from the ``WINDOW`` words on
 either side; a document's score is the sum of the log probabilities it gives to
-each of its words. Words are hashed to ``BUCKETS``. A word's probability is that
-of its class, from the network, times that of its bucket within the class, from
-the bucket counts of the whole corpus; the most frequent buckets are classes of
-their own.
-
-Training is data-parallel over all documents: in each of ``ROUNDS`` rounds, the
-tasks start from the same weights, mask one word in ``MASK_EVERY`` of the
-round's documents (each belongs to one round), descend on their own words, and
-Spark averages the weights, weighted by masked words. Counts and weight sums are
-shuffled from every task, so what is gathered grows with the corpus, while the
-model, and what reaches the driver, has a fixed size. The weights depend on how
-the input is split into tasks; the same split gives the same weights.
+each of its words. Whole words are counted over all documents in a table that
+grows with them. A word's probability is that of its class, from the network,
+times its share of the class's occurrences; the ``SINGLE_CLASSES`` most frequent
+words are classes of their own, the rest fill classes of falling frequency and
+about equal mass. The network sees a word as its symbol: its own one for the
+``SINGLE_SYMBOLS`` most frequent, else one shared by words of like frequency.
+Words that the counted documents lack are one explicit unknown word.
+
+Work runs in parts of about ``PART_LETTERS`` letters of consecutive documents: a part numbers
+its words, its distinct words meet the counts in a join, and the numbers turn
+into symbols inside the part. Training is data-parallel over all documents and
+all words: in each of ``ROUNDS`` rounds the tasks start from the same weights,
+descend on every word of the round's documents (each belongs to one round), and
+Spark averages the weights, weighted by words. What reaches the driver has a
+fixed size: the most frequent words, sums by frequency band and symbol, and the
+weights. The weights depend on how the input is split into tasks; the same split
+gives the same weights.
 
 Rows: null text counts as empty; a text without words has no words, a sum of 0
 and a null mean. A null id is kept as it is; repeated rows count, train and are
@@ -22,66 +27,172 @@ text are not read."""
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
-# Predicted classes and context symbols; of each, the first part are single buckets.
+from foldspark.session import Rounds, cut
+
+# Predicted classes and context symbols; of each, the first part are single words.
 CLASSES, SINGLE_CLASSES = 128, 96
 SYMBOLS, SINGLE_SYMBOLS = 1024, 768
+# The last two symbols: words not counted, and places beyond the text.
+UNKNOWN, EDGE = SYMBOLS - 2, SYMBOLS - 1
 WINDOW, WIDTH = 3, 32
-ROUNDS, MASK_EVERY = 2, 6
-BATCH, RATE, SEED = 512, 0.01, 7
+ROUNDS = 2
+BATCH, RATE, SEED = 1024, 0.01, 7
+# Letters of a part, and distinct words at which it ends too.
+PART_LETTERS, PART_WORDS = 16 << 20, 1 << 19
 # Words whose predictions are held at once.
-_WORDS = 1 << 14
-_OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
+_WORDS = 1 << 13
+_OFFSETS = np.array([o for o in range(-WINDOW, WINDOW + 1) if o])
+_GROUPS = UNKNOWN - SINGLE_SYMBOLS
+# Frequency bands to a doubling.
+_BANDS = 8
+_PARTS = "part long, doc_id long, ids binary, place int, word binary, n long"
+_ENCODED = "doc_id long, symbols binary, inside double"
+
+
+class _Numbers(dict):
+    """Numbers words in order of first sight."""
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, lower-cased in A-Z."""
+    return (text or "").encode().lower().split()
+
 
+def _part_rows(batches):
+    """Document rows (word numbers) and, after a part's documents, its word rows."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["part", "doc_id", "ids", "place", "word", "n"]
 
-def buckets(text: str | None) -> np.ndarray:
-    """The bucket of every word of a text, lower-cased in A-Z."""
-    crc, mask = zlib.crc32, BUCKETS - 1
-    return np.array([crc(w) & mask for w in (text or "").encode().lower().split()], dtype=np.int64)
+    def rows(*columns):
+        size = max(len(c) for c in columns if c is not None)
+        return pa.record_batch([pa.nulls(size, t) if c is None else pa.array(c, t)
+                                for c, t in zip(columns, types, strict=True)], names=names)
 
+    def vocabulary():
+        words = list(numbers)
+        for lo in range(0, len(words), 1 << 16):
+            some = words[lo:lo + (1 << 16)]
+            yield rows([part] * len(some), None, None, np.arange(lo, lo + len(some)), some,
+                       tally[lo:lo + len(some)])
 
-def _count_rows(batches):
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    part = TaskContext.get().partitionId() << 32
+    numbers, tally, size = _Numbers(), np.zeros(0, np.int64), 0
     for b in batches:
-        for text in b.column(0):
-            total += np.bincount(buckets(text.as_py()), minlength=BUCKETS)
-    some = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+        ids, held = [], []
+
+        def documents():
+            grown = np.bincount(np.concatenate(held), minlength=len(numbers))
+            grown[:len(tally)] += tally
+            return grown, rows([part] * len(ids), ids, [x.tobytes() for x in held], None, None, None)
+
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = text.as_py()
+            ids.append(doc_id)
+            held.append(np.fromiter(map(numbers.__getitem__, words_of(text)), np.uint32))
+            size += len(text or "")
+            if size >= PART_LETTERS or len(numbers) >= PART_WORDS:
+                tally, out = documents()
+                yield out
+                yield from vocabulary()
+                part, numbers, tally, size, ids, held = part + 1, _Numbers(), np.zeros(0, np.int64), 0, [], []
+        if ids:
+            tally, out = documents()
+            yield out
+    yield from vocabulary()
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents as word numbers of their part, and every part's distinct words."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+                       ).mapInArrow(_part_rows, _PARTS)
 
 
 @dataclass
 class Vocabulary:
-    """Class, context symbol and log probability within its class, by bucket."""
+    """``table(word, n, symbol)`` of every counted word; class by symbol and the
+    log of its class's occurrences by symbol."""
 
+    table: DataFrame
     classes: np.ndarray
-    symbols: np.ndarray
-    inside: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Vocabulary:
-        order = np.lexsort((np.arange(BUCKETS), -counts))
-        place = np.empty(BUCKETS, dtype=np.int64)
-        place[order] = np.arange(BUCKETS)
-
-        def grouped(single, size):
-            rest = single + np.arange(BUCKETS) % (size - single)
-            return np.where(place < single, place, rest).astype(np.int32)
-
-        classes = grouped(SINGLE_CLASSES, CLASSES)
-        weight = counts + 0.5
-        total = np.bincount(classes, weight, CLASSES)
-        # the last symbol stands for places beyond the text
-        return cls(classes, grouped(SINGLE_SYMBOLS, SYMBOLS - 1),
-                   np.log(weight / total[classes]).astype(np.float32))
+    log_mass: np.ndarray
+
+
+def classes_of(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and log class mass by symbol, from the symbols' occurrences; the
+    unknown word counts once."""
+    mass = mass.astype(float)
+    mass[UNKNOWN] = 1.0
+    classes = np.arange(SYMBOLS)
+    rest = mass[SINGLE_CLASSES:]
+    middle = (np.cumsum(rest) - rest / 2) / rest.sum()
+    wide = CLASSES - SINGLE_CLASSES
+    classes[SINGLE_CLASSES:] = SINGLE_CLASSES + np.minimum((middle * wide).astype(int), wide - 1)
+    total = np.bincount(classes, mass, CLASSES)
+    return classes, np.log(np.maximum(total, 1.0))[classes]
+
+
+def vocabulary(parts: DataFrame, kept: Rounds) -> Vocabulary:
+    """Counts, symbols and classes of all words of ``parts``."""
+    spark = parts.sparkSession
+    counts = kept.keep("counts", parts.filter(F.col("word").isNotNull()).groupBy("word")
+                       .agg(F.sum("n").alias("n")))
+    # SINGLE_SYMBOLS rows, one row a band and one a symbol reach the driver.
+    top = counts.orderBy(F.desc("n"), "word").limit(SINGLE_SYMBOLS).collect()
+    single = spark.createDataFrame([(r["word"], k) for k, r in enumerate(top)], "word binary, single int")
+    table = counts.join(F.broadcast(single), "word", "left").withColumn(
+        "band", F.floor(F.log2("n") * _BANDS).cast("int"))
+    bands = (table.filter("single IS NULL").groupBy("band").agg(F.sum("n").alias("mass"))
+             .orderBy(F.desc("band")).collect())
+    masses = np.array([r["mass"] for r in bands], dtype=float)
+    total = max(1.0, masses.sum())
+    # Words of a band lie on its stretch of the mass axis, spread by their hash.
+    lies = spark.createDataFrame([(r["band"], float(a / total), float(m / total)) for r, a, m in
+                                  zip(bands, np.cumsum(masses) - masses, masses, strict=True)],
+                                 "band int, above double, share double")
+    spread = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    group = F.least(F.floor((F.col("above") + F.col("share") * spread) * _GROUPS), F.lit(_GROUPS - 1))
+    table = kept.keep("vocabulary", table.join(F.broadcast(lies), "band", "left").select(
+        "word", "n", F.coalesce("single", (group + SINGLE_SYMBOLS).cast("int")).alias("symbol")))
+    mass = np.zeros(SYMBOLS)
+    for r in table.groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+        mass[r["symbol"]] = r["n"]
+    return Vocabulary(table, *classes_of(mass))
+
+
+def encode(parts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(doc_id, symbols, inside)``: 16-bit symbols of all words and the sum of
+    the logs of the words' shares of their classes."""
+    log_mass = vocab.log_mass
+
+    def encoded(docs: pa.Table, words: pa.Table) -> pa.Table:
+        place = words.column("place").to_numpy()
+        symbol, inside = np.empty(len(place), np.uint16), np.empty(len(place))
+        symbol[place] = own = words.column("symbol").to_numpy()
+        inside[place] = np.log(words.column("n").to_numpy()) - log_mass[own]
+        held = [np.frombuffer(x.as_py(), np.uint32) for x in docs.column("ids")]
+        return pa.table([docs.column("doc_id"), pa.array([symbol[x].tobytes() for x in held], pa.binary()),
+                         pa.array([float(inside[x].sum()) for x in held], pa.float64())],
+                        names=["doc_id", "symbols", "inside"])
+
+    words = (parts.filter(F.col("word").isNotNull()).select(F.col("part").alias("of"), "place", "word")
+             .join(vocab.table, "word", "left")
+             .select("of", "place", F.coalesce("symbol", F.lit(UNKNOWN)).alias("symbol"),
+                     F.coalesce("n", F.lit(1)).cast("double").alias("n")))
+    docs = parts.filter(F.col("ids").isNotNull()).select("part", "doc_id", "ids")
+    return docs.groupBy("part").cogroup(words.groupBy("of")).applyInArrow(encoded, _ENCODED)
 
 
 _SHAPES = {"embed": (SYMBOLS, WIDTH), "place": (2 * WINDOW, WIDTH), "hidden": (WIDTH,),
@@ -107,16 +218,17 @@ class Network:
         """Hidden values and class log probabilities for ``(n, 2 * WINDOW)`` symbols."""
         total = np.tile(self.hidden, (len(context), 1))
         for k in range(2 * WINDOW):
-            total += self.embed[context[:, k]] * (1 + self.place[k])
+            total += (self.embed * (1 + self.place[k]))[context[:, k]]
         hidden = np.tanh(total, out=total)
-        logits = hidden @ self.out + self.bias
+        logits = hidden @ self.out
+        logits += self.bias
         logits -= logits.max(axis=1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return hidden, logits
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         hidden, logs = self.forward(context)
-        off = np.exp(logs)
+        off = np.exp(logs, out=logs)
         off[np.arange(len(target)), target] -= 1
         off /= len(target)
         grad = Network(np.zeros(PARAMETERS))
@@ -125,16 +237,28 @@ class Network:
         back = (off @ self.out.T) * (1 - hidden * hidden)
         grad.hidden[:] = back.sum(axis=0)
         for k in range(2 * WINDOW):
-            grad.place[k] = (self.embed[context[:, k]] * back).sum(axis=0)
-            np.add.at(grad.embed, context[:, k], back * (1 + self.place[k]))
+            # rows of equal symbols stand together and are added up
+            order = np.argsort(context[:, k], kind="stable")
+            held = context[order, k]
+            starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+            sums, some = np.add.reduceat(back[order], starts, axis=0), held[starts]
+            grad.place[k] = (self.embed[some] * sums).sum(axis=0)
+            grad.embed[some] += sums * (1 + self.place[k])
         return grad.flat
 
 
-def contexts(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Symbols around the places ``at`` of one text."""
-    padded = np.full(len(symbols) + 2 * WINDOW, SYMBOLS - 1, dtype=np.int64)
-    padded[WINDOW:len(symbols) + WINDOW] = symbols
-    return np.stack([padded[at + WINDOW + o] for o in _OFFSETS], axis=1)
+def windows(texts: list[np.ndarray], size: int):
+    """``(context, symbol)`` of all words of the texts in order, in slices of
+    equal length of at most ``size`` words."""
+    gap = np.full(WINDOW, EDGE, np.uint16)
+    padded = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+    starts = np.cumsum([0] + [len(t) for t in texts])
+    total = int(starts[-1])
+    slices = -(-total // size)
+    for k in range(slices):
+        at = np.arange(total * k // slices, total * (k + 1) // slices)
+        at += WINDOW * np.searchsorted(starts, at, side="right")
+        yield padded[at[:, None] + _OFFSETS], padded[at]
 
 
 def descend(flat: np.ndarray, examples, rate: float = RATE) -> tuple[np.ndarray, int]:
@@ -152,86 +276,86 @@ def descend(flat: np.ndarray, examples, rate: float = RATE) -> tuple[np.ndarray,
     return net.flat, seen
 
 
-def _examples(texts, vocab: Vocabulary):
-    """Batches of masked places; the masked ones of a text are spread evenly."""
-    held, size = [], 0
-    for k, text in enumerate(texts):
-        words = buckets(text)
-        at = np.arange(k % MASK_EVERY, len(words), MASK_EVERY)
-        if not len(at):
-            continue
-        held.append((contexts(vocab.symbols[words], at), vocab.classes[words[at]]))
-        size += len(at)
-        if size >= BATCH:
-            context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = size - size % BATCH
-            for lo in range(0, whole, BATCH):
-                yield context[lo:lo + BATCH], target[lo:lo + BATCH]
-            held, size = [(context[whole:], target[whole:])], size - whole
-    if size:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
-def _weight_rows(batches, flat, vocab):
-    texts = (t.as_py() for b in batches for t in b.column(0))
-    trained, seen = descend(flat.value, _examples(texts, vocab.value))
+def _symbols(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint16) for x in column]
+
+
+def _weight_rows(batches, flat, classes):
+    examples = ((context, classes[own]) for b in batches if b.num_rows
+                for context, own in windows(_symbols(b.column(0)), BATCH))
+    trained, seen = descend(flat.value, examples)
     if seen:
         yield pa.record_batch([pa.array(np.arange(PARAMETERS), pa.int32()),
                                pa.array(trained.astype(np.float64) * seen),
                                pa.array(np.full(PARAMETERS, float(seen)))], names=["k", "v", "w"])
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and network weights from all documents."""
-    context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    # At most BUCKETS rows, and PARAMETERS below, reach the driver.
-    for r in (texts.mapInArrow(_count_rows, "bucket int, n long").groupBy("bucket")
-              .agg(F.sum("n").alias("n")).collect()):
-        counts[r["bucket"]] = r["n"]
-    vocab = Vocabulary.of(counts)
-    shared, flat = context.broadcast(vocab), Network().flat
-    part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+def train(encoded: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Network weights from every word of all encoded documents."""
+    context, flat = encoded.sparkSession.sparkContext, Network().flat
+    turn = F.pmod(F.xxhash64("symbols"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         start = context.broadcast(flat)
-        rows = (texts.filter(part == k).mapInArrow(
-            partial(_weight_rows, flat=start, vocab=shared), "k int, v double, w double")
+        # At most PARAMETERS rows reach the driver.
+        rows = (encoded.filter(turn == k).select("symbols").mapInArrow(
+            partial(_weight_rows, flat=start, classes=classes), "k int, v double, w double")
             .groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).collect())
         if rows:
             flat = np.empty(PARAMETERS, np.float32)
             flat[[r["k"] for r in rows]] = [r["v"] for r in rows]
-    return vocab, flat
-
+    return flat
 
-def log_probabilities(words: np.ndarray, vocab: Vocabulary, net: Network) -> np.ndarray:
-    """The log probability of every word given the words around it."""
-    out = np.empty(len(words), dtype=np.float64)
-    symbols, classes = vocab.symbols[words], vocab.classes[words]
-    for lo in range(0, len(words), _WORDS):
-        at = np.arange(lo, min(lo + _WORDS, len(words)))
-        _, logs = net.forward(contexts(symbols, at))
-        out[at] = logs[np.arange(len(at)), classes[at]] + vocab.inside[words[at]]
-    return out
 
-
-def _score_rows(batches, vocab, flat):
+def _score_rows(batches, classes, flat):
     net = Network(flat.value)
     for b in batches:
-        logs = [log_probabilities(buckets(t.as_py()), vocab.value, net) for t in b.column(1)]
-        sizes = [len(x) for x in logs]
-        sums = [round(float(x.sum()), 6) for x in logs]
-        means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
+        if not b.num_rows:
+            continue
+        texts = _symbols(b.column(1))
+        # One more place, so that an empty text at the end has a start.
+        logs, at = np.zeros(sum(map(len, texts)) + 1), 0
+        for context, own in windows(texts, _WORDS):
+            _, found = net.forward(context)
+            logs[at:at + len(own)] = found[np.arange(len(own)), classes[own]]
+            at += len(own)
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        sums = np.where(sizes > 0, np.add.reduceat(logs, starts) + b.column(2).to_numpy(), 0.0).round(6)
         yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
-                               pa.array(means, pa.float64())],
+                               pa.array(sums / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)],
                               names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
 
+def rate(encoded: DataFrame, classes: np.ndarray, flat: np.ndarray) -> DataFrame:
+    """``(doc_id, n_words, log_likelihood, mean_log_likelihood)`` of encoded documents."""
+    weights = encoded.sparkSession.sparkContext.broadcast(flat)
+    return encoded.mapInArrow(partial(_score_rows, classes=classes, flat=weights),
+                              "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and network weights from all documents."""
+    kept = Rounds(docs.sparkSession)
+    parts = kept.keep("parts", numbered(docs.withColumn("_id", F.lit(0)), "_id", text_col))
+    vocab = vocabulary(parts, kept)
+    flat = train(kept.keep("encoded", encode(parts, vocab)), vocab.classes)
+    vocab.table = kept.result(vocab.table)
+    return vocab, flat
+
+
 def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, log_likelihood, mean_log_likelihood)`` of every document."""
-    context = docs.sparkSession.sparkContext
-    shared, weights = context.broadcast(vocab), context.broadcast(flat)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        lambda b: _score_rows(b, shared, weights),
-        "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    """Scores of documents, those of the fit or others."""
+    parts = cut(numbered(docs, id_col, text_col))
+    return rate(encode(parts, vocab), vocab.classes, flat)
+
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of the documents under a model of the same documents; their words
+    are numbered and encoded once."""
+    kept = Rounds(docs.sparkSession)
+    parts = kept.keep("parts", numbered(docs, id_col, text_col))
+    vocab = vocabulary(parts, kept)
+    encoded = cut(encode(parts, vocab))
+    kept.clear()
+    return rate(encoded, vocab.classes, train(encoded, vocab.classes))

@@ -150,8 +150,7 @@ def op9_bpe(spark, sf_dir):
 
 @_query
 def op10_masked_lm(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, *masked_lm.fit(docs))
+    return masked_lm.fit_and_score(_table(spark, sf_dir, "documents"))
 
 
 @_query

@@ -290,6 +290,82 @@ def test_language_model_gradient_and_odd_rows(spark):
     assert masked_lm.score(rows.limit(0), *masked_lm.fit(rows.limit(0))).count() == 0
 
 
+def plain_language_model(texts):
+    """Counts, symbols and classes of all words by a plain pass."""
+    counts = collections.Counter(w for t in texts for w in masked_lm.words_of(t))
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    return counts, {w: k for k, w in enumerate(order[:masked_lm.SINGLE_SYMBOLS])}
+
+
+def test_language_model_counts_and_scores_like_plain_code(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("symbols", F.lit("x"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    monkeypatch.setattr(masked_lm, "PART_LETTERS", 20_000)
+    vocab, flat = masked_lm.fit(docs)
+    counts, single = plain_language_model(texts.values())
+    table = {bytes(r["word"]): (r["n"], r["symbol"]) for r in vocab.table.collect()}
+    assert {w: n for w, (n, _) in table.items()} == counts
+    assert {w: s for w, (_, s) in table.items() if s < masked_lm.SINGLE_SYMBOLS} == single
+    shared = [(counts[w], s) for w, (_, s) in table.items() if s >= masked_lm.SINGLE_SYMBOLS]
+    assert all(s < masked_lm.UNKNOWN for _, s in shared)
+    # rarer words have later symbols, up to words of one band
+    assert all(not (m > 2 * n and s > t) for n, t in shared[:400] for m, s in shared[:400])
+    mass = np.zeros(masked_lm.CLASSES)
+    for n, s in table.values():
+        mass[vocab.classes[s]] += n
+    mass[vocab.classes[masked_lm.UNKNOWN]] += 1
+    assert np.allclose(np.log(mass[vocab.classes[:masked_lm.EDGE]]), vocab.log_mass[:masked_lm.EDGE])
+    # words of their own class, the others in classes of about equal mass
+    assert (vocab.classes[:masked_lm.SINGLE_CLASSES] == np.arange(masked_lm.SINGLE_CLASSES)).all()
+    wide = mass[masked_lm.SINGLE_CLASSES:]
+    assert wide.max() < 2 * wide.mean() and wide.min() > 0.5 * wide.mean()
+    odd = spark.createDataFrame([(-1, "never seen words zzzyx"), (-2, "")], "doc_id long, text string")
+    rows = masked_lm.score(docs.select("doc_id", "text").unionByName(odd), vocab, flat).collect()
+    assert len(rows) == len(texts) + 2
+    texts.update({-1: "never seen words zzzyx", -2: ""})
+    net, edge = masked_lm.Network(flat), masked_lm.EDGE
+    for r in rows:
+        words = masked_lm.words_of(texts[r["doc_id"]])
+        own = [table.get(w, (1, masked_lm.UNKNOWN)) for w in words]
+        symbols, total = [s for _, s in own], 0.0
+        for at, (n, s) in enumerate(own):
+            hidden = net.hidden.astype(float)
+            for k, o in enumerate((-3, -2, -1, 1, 2, 3)):
+                near = symbols[at + o] if 0 <= at + o < len(symbols) else edge
+                hidden = hidden + net.embed[near] * (1 + net.place[k])
+            logits = np.tanh(hidden) @ net.out + net.bias
+            total += logits[vocab.classes[s]] - np.log(np.exp(logits).sum()) + np.log(n / mass[vocab.classes[s]])
+        assert r["n_words"] == len(words)
+        assert abs(r["log_likelihood"] - total) < 1e-3 * max(1, len(words))
+
+
+def test_language_model_trains_on_every_word_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 900, n).astype(np.uint16) for n in (0, 1, 5, 0, 3000, 2, 0)]
+    for size in (7, 1000, 10_000):
+        found = list(masked_lm.windows(texts, size))
+        assert np.array_equal(np.concatenate([own for _, own in found]), np.concatenate(texts))
+        around = np.concatenate([c for c, _ in found])
+        wanted = []
+        for t in texts:
+            wide = [masked_lm.EDGE] * 3 + t.tolist() + [masked_lm.EDGE] * 3
+            wanted += [[*wide[k:k + 3], *wide[k + 4:k + 7]] for k in range(len(t))]
+        assert around.tolist() == wanted
+    assert list(masked_lm.windows([texts[0]], 7)) == []
+
+
+def test_language_model_one_pass_equals_fit_then_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    both = {r["doc_id"]: r for r in masked_lm.fit_and_score(docs).collect()}
+    vocab, flat = masked_lm.fit(docs)
+    again = {r["doc_id"]: r for r in masked_lm.score(docs, vocab, flat).collect()}
+    assert both.keys() == again.keys()
+    for k, r in both.items():
+        assert r["n_words"] == again[k]["n_words"]
+        # tasks may hold other documents, so the averaged weights differ a little
+        assert abs((r["mean_log_likelihood"] or 0) - (again[k]["mean_log_likelihood"] or 0)) < 0.5
+
+
 # ---- pipeline --------------------------------------------------------------
 
 def test_pipeline_stages(spark):
