@@ -1,9 +1,11 @@
 """URL verdicts by host rules and, where no rule fits, by segmented words.
 
-Host labels are cut at anything but letters; each run of letters is split into
-words by the most probable sequence under a unigram model (Viterbi). The model
-counts the words of all page titles and of all delimited URL parts, so it grows
-with the pages. Substrings of the distinct runs meet these counts in a join; no
+Hosts and paths are cut at anything but letters; each run of letters is split
+into words by the most probable sequence under a unigram model (Viterbi). The
+model counts the words of all page titles, of hyphened host labels and of path
+names of several words, and path names of one run that ``COMMON_HOSTS`` hosts or
+more share, so it grows with the pages and a concatenated name doesn't vouch for
+itself. Substrings of the distinct runs meet these counts in a join; no
 vocabulary is broadcast.
 
 The words of hosts and paths then feed a multinomial naive Bayes model. Its
@@ -38,6 +40,8 @@ LONGEST_WORD = 20
 LONGEST_LABEL = 63
 ALL_SHARE, SEED_PART = 0.8, 0.3
 SMOOTHING = 20.0
+# A path name of one run is a word if this many hosts have it.
+COMMON_HOSTS = 3
 # Share of URLs to be blocked, before any word is seen.
 BLOCKED_PRIOR = 0.4
 
@@ -88,29 +92,41 @@ def _pick(values: list[str], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number) if values else F.lit(None).cast("string")
 
 
-def _parts(text: Column) -> Column:
-    """Runs of letters, lower-case; longer ones than a label are cut."""
-    runs = F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
+def _short(runs: Column) -> Column:
+    """Runs with those longer than a label cut."""
     return F.flatten(F.transform(runs, lambda r: F.transform(
         F.sequence(F.lit(0), F.floor((F.length(r) - 1) / LONGEST_LABEL).cast("int")),
         lambda k: F.substring(r, k * LONGEST_LABEL + 1, F.lit(LONGEST_LABEL)))))
 
 
+def _parts(text: Column) -> Column:
+    """Runs of letters, lower-case; longer ones than a label are cut."""
+    return _short(F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), ""))
+
+
 def path_tokens(path: Column) -> Column:
     """Words and masked numbers of a path."""
     return F.array_remove(F.split(F.regexp_replace(F.lower(path), r"\p{N}+", "0"), r"[^\p{L}0]+"), "")
 
 
 def word_counts(pages: DataFrame, url: str, html: str | None) -> DataFrame:
-    """``(word, n)`` over all titles, path words and parts of hyphened labels."""
+    """``(word, n)`` over titles, hyphened labels and the names in paths."""
     link = F.col(url)
     hyphened = F.filter(F.split(host_of(link), r"\."), lambda x: x.contains("-"))
-    sources = [_parts(path_of(link)), _parts(F.array_join(hyphened, " "))]
+    names = F.split(path_of(link), "/")
+    several = F.filter(names, lambda x: F.size(_parts(x)) > 1)
+    sources = [_parts(F.array_join(hyphened, " ")), _parts(F.array_join(several, " "))]
     if html is not None:
         sources.append(_parts(F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.*?)</title", 1)))
     words = pages.select(F.explode(F.concat(*(F.coalesce(s, F.array().cast("array<string>"))
                                               for s in sources))).alias("word"))
-    return (words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    alone = F.filter(names, lambda x: F.size(_parts(x)) == 1)
+    shared = (pages.select(host_of(link).alias("host"), F.explode(_parts(F.array_join(alone, "/"))).alias("word"))
+              .groupBy("word", "host").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")))
+    return (words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(shared.filter(F.col("hosts") >= COMMON_HOSTS).drop("hosts"))
+            .filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def split_words(run: str, counts: dict[str, int], total: int) -> list[str]:
@@ -149,17 +165,15 @@ def segment(runs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return known.select("run", split("run", "known").alias("words"))
 
 
-def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(host, token)`` for every word of every distinct host."""
-    seeds = hosts.sparkSession.createDataFrame([(s,) for s in SEEDS], "word string")
+def run_words(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(run, words)`` of distinct runs; each seed counts as a word of usual frequency."""
+    seeds = runs.sparkSession.createDataFrame([(s,) for s in SEEDS], "word string")
     average = counts.agg(F.sum("n").alias("s"), F.avg("n").alias("a")).first()
     usual = max(1, round(average["a"] or 1))
     total = (average["s"] or 0) + usual * len(SEEDS)
     counts = (counts.unionByName(seeds.withColumn("n", F.lit(usual).cast("long")))
               .groupBy("word").agg(F.sum("n").alias("n")))
-    runs = hosts.select("host", F.explode(_parts(F.col("host"))).alias("run"))
-    split = segment(runs.select("run").distinct(), counts, total)
-    return runs.join(split, "run").select("host", F.explode("words").alias("token"))
+    return segment(runs, counts, total)
 
 
 def _odds(tokens: DataFrame) -> DataFrame:
@@ -195,8 +209,13 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     hosts = cut(judged.groupBy("host").agg(*tallies))
     shapes = cut(judged.groupBy("shape").agg(*tallies))
     counts = cut(word_counts(pages, url_col, html_col))
-    of_host = cut(host_words(hosts.select("host"), counts))
-    of_shape = shapes.select("shape", F.explode(F.array_remove(F.split("shape", "/"), "")).alias("token"))
+    host_runs = hosts.select("host", F.explode(_parts(F.col("host"))).alias("run"))
+    # a masked number is a run of its own
+    shape_runs = shapes.select("shape", F.explode(_short(
+        F.regexp_extract_all("shape", F.lit(r"(\p{L}+|0)"), F.lit(1)))).alias("run"))
+    words = cut(run_words(host_runs.select("run").union(shape_runs.select("run")).distinct(), counts))
+    of_host = cut(host_runs.join(words, "run").select("host", F.explode("words").alias("token")))
+    of_shape = cut(shape_runs.join(words, "run").select("shape", F.explode("words").alias("token")))
     sums = ("token", "n", "blocked", "allowed")
     odds = cut(_odds(of_host.join(hosts, "host").select(*sums)
                      .unionByName(of_shape.join(shapes, "shape").select(*sums))))
