@@ -10,7 +10,7 @@ about equal mass. The network sees a word as its symbol: its own one for the
 ``SINGLE_SYMBOLS`` most frequent, else one shared by words of like frequency.
 Words that the counted documents lack are one explicit unknown word.
 
-Work runs in parts of about ``PART_LETTERS`` letters of consecutive documents: a part numbers
+Work runs in parts of about ``PART_BYTES`` of consecutive documents: a part numbers
 its words, its distinct words meet the counts in a join, and the numbers turn
 into symbols inside the part. Training is data-parallel over all documents and
 all words: in each of ``ROUNDS`` rounds the tasks start from the same weights,
@@ -45,11 +45,11 @@ SYMBOLS, SINGLE_SYMBOLS = 1024, 768
 UNKNOWN, EDGE = SYMBOLS - 2, SYMBOLS - 1
 WINDOW, WIDTH = 3, 32
 ROUNDS = 2
-BATCH, RATE, SEED = 1024, 0.01, 7
-# Letters of a part, and distinct words at which it ends too.
-PART_LETTERS, PART_WORDS = 16 << 20, 1 << 19
+BATCH, RATE, SEED = 2048, 0.01, 7
+# Text bytes of a part, and distinct words at which it ends too.
+PART_BYTES, PART_WORDS = 16 << 20, 1 << 19
 # Words whose predictions are held at once.
-_WORDS = 1 << 13
+_WORDS = 1 << 11
 _OFFSETS = np.array([o for o in range(-WINDOW, WINDOW + 1) if o])
 _GROUPS = UNKNOWN - SINGLE_SYMBOLS
 # Frequency bands to a doubling.
@@ -66,9 +66,9 @@ class _Numbers(dict):
         return number
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, lower-cased in A-Z."""
-    return (text or "").encode().lower().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of UTF-8 between ASCII white space, lower-cased in A-Z."""
+    return (text or b"").lower().split()
 
 
 def _part_rows(batches):
@@ -102,8 +102,8 @@ def _part_rows(batches):
             text = text.as_py()
             ids.append(doc_id)
             held.append(np.fromiter(map(numbers.__getitem__, words_of(text)), np.uint32))
-            size += len(text or "")
-            if size >= PART_LETTERS or len(numbers) >= PART_WORDS:
+            size += len(text or b"")
+            if size >= PART_BYTES or len(numbers) >= PART_WORDS:
                 tally, out = documents()
                 yield out
                 yield from vocabulary()
@@ -116,7 +116,7 @@ def _part_rows(batches):
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as word numbers of their part, and every part's distinct words."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")
                        ).mapInArrow(_part_rows, _PARTS)
 
 
@@ -164,8 +164,8 @@ def vocabulary(parts: DataFrame, kept: Rounds) -> Vocabulary:
                                  "band int, above double, share double")
     spread = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     group = F.least(F.floor((F.col("above") + F.col("share") * spread) * _GROUPS), F.lit(_GROUPS - 1))
-    table = kept.keep("vocabulary", table.join(F.broadcast(lies), "band", "left").select(
-        "word", "n", F.coalesce("single", (group + SINGLE_SYMBOLS).cast("int")).alias("symbol")))
+    table = table.join(F.broadcast(lies), "band", "left").select(
+        "word", "n", F.coalesce("single", (group + SINGLE_SYMBOLS).cast("int")).cast("short").alias("symbol"))
     mass = np.zeros(SYMBOLS)
     for r in table.groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         mass[r["symbol"]] = r["n"]
@@ -189,8 +189,8 @@ def encode(parts: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     words = (parts.filter(F.col("word").isNotNull()).select(F.col("part").alias("of"), "place", "word")
              .join(vocab.table, "word", "left")
-             .select("of", "place", F.coalesce("symbol", F.lit(UNKNOWN)).alias("symbol"),
-                     F.coalesce("n", F.lit(1)).cast("double").alias("n")))
+             .select("of", "place", F.coalesce("symbol", F.lit(UNKNOWN).cast("short")).alias("symbol"),
+                     F.coalesce("n", F.lit(1)).alias("n")))
     docs = parts.filter(F.col("ids").isNotNull()).select("part", "doc_id", "ids")
     return docs.groupBy("part").cogroup(words.groupBy("of")).applyInArrow(encoded, _ENCODED)
 
@@ -214,42 +214,60 @@ class Network:
             setattr(self, name, self.flat[at:at + size].reshape(shape))
             at += size
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and class log probabilities for ``(n, 2 * WINDOW)`` symbols."""
-        total = np.tile(self.hidden, (len(context), 1))
-        for k in range(2 * WINDOW):
-            total += (self.embed * (1 + self.place[k]))[context[:, k]]
-        hidden = np.tanh(total, out=total)
-        logits = hidden @ self.out
-        logits += self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return hidden, logits
-
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden, logs = self.forward(context)
-        off = np.exp(logs, out=logs)
-        off[np.arange(len(target)), target] -= 1
-        off /= len(target)
-        grad = Network(np.zeros(PARAMETERS))
-        grad.out[:] = hidden.T @ off
-        grad.bias[:] = off.sum(axis=0)
-        back = (off @ self.out.T) * (1 - hidden * hidden)
+    def seen(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of all places and hidden values of the places ``at``, which
+        have ``WINDOW`` places on either side."""
+        embedded, inner = self.embed[padded], len(padded) - 2 * WINDOW
+        total = np.tile(self.hidden, (inner, 1))
+        for k, o in enumerate(_OFFSETS):
+            total += embedded[WINDOW + o:WINDOW + o + inner] * (1 + self.place[k])
+        return embedded, np.tanh(total[at - WINDOW])
+
+    def logits(self, hidden: np.ndarray) -> np.ndarray:
+        """``(CLASSES, n)`` logits, the largest of a place being 0."""
+        out = self.out.T @ hidden.T
+        out += self.bias[:, None]
+        out -= out.max(axis=0)
+        return out
+
+    def log_probabilities(self, padded: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the classes ``target`` at the places ``at``."""
+        logits = self.logits(self.seen(padded, at)[1])
+        found = logits[target, np.arange(len(target))]
+        return found - np.log(np.exp(logits, out=logits).sum(axis=0))
+
+    def gradient(self, padded: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the mean negative log probability."""
+        embedded, hidden = self.seen(padded, at)
+        off = self.logits(hidden)
+        np.exp(off, out=off)
+        off /= off.sum(axis=0)
+        off[target, np.arange(len(target))] -= 1
+        grad, share = Network(np.zeros(PARAMETERS)), np.float32(1 / len(target))
+        grad.out[:] = (off @ hidden).T * share
+        grad.bias[:] = off.sum(axis=1) * share
+        back = (off.T @ (self.out.T * share)) * (1 - hidden * hidden)
         grad.hidden[:] = back.sum(axis=0)
-        for k in range(2 * WINDOW):
-            # rows of equal symbols stand together and are added up
-            order = np.argsort(context[:, k], kind="stable")
-            held = context[order, k]
-            starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-            sums, some = np.add.reduceat(back[order], starts, axis=0), held[starts]
-            grad.place[k] = (self.embed[some] * sums).sum(axis=0)
-            grad.embed[some] += sums * (1 + self.place[k])
+        # What a place gets back as a neighbour is a sum of shifts; places of
+        # equal symbols then stand together and are added up.
+        inner = len(padded) - 2 * WINDOW
+        wide, spread = np.zeros((inner, WIDTH), np.float32), np.zeros_like(embedded)
+        wide[at - WINDOW] = back
+        for k, o in enumerate(_OFFSETS):
+            near = slice(WINDOW + o, WINDOW + o + inner)
+            grad.place[k] = np.einsum("ij,ij->j", embedded[near], wide)
+            spread[near] += wide * (1 + self.place[k])
+        order = np.argsort(padded, kind="stable")
+        held = padded[order]
+        starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        grad.embed[held[starts]] = np.add.reduceat(spread[order], starts, axis=0)
         return grad.flat
 
 
 def windows(texts: list[np.ndarray], size: int):
-    """``(context, symbol)`` of all words of the texts in order, in slices of
-    equal length of at most ``size`` words."""
+    """``(padded, at)`` of all words of the texts in order, in slices of equal
+    numbers of words, at most ``size``: symbols with ``EDGE`` around texts, and
+    the places of the slice's words among them."""
     gap = np.full(WINDOW, EDGE, np.uint16)
     padded = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
     starts = np.cumsum([0] + [len(t) for t in texts])
@@ -258,17 +276,18 @@ def windows(texts: list[np.ndarray], size: int):
     for k in range(slices):
         at = np.arange(total * k // slices, total * (k + 1) // slices)
         at += WINDOW * np.searchsorted(starts, at, side="right")
-        yield padded[at[:, None] + _OFFSETS], padded[at]
+        low = at[0] - WINDOW
+        yield padded[low:at[-1] + WINDOW + 1], at - low
 
 
 def descend(flat: np.ndarray, examples, rate: float = RATE) -> tuple[np.ndarray, int]:
-    """Weights after one pass of Adam over ``(context, target)`` batches, and
+    """Weights after one pass of Adam over ``(padded, at, target)`` batches, and
     the number of words seen."""
     net, seen, step = Network(flat), 0, 0
     first, second = np.zeros(PARAMETERS, np.float32), np.zeros(PARAMETERS, np.float32)
-    for context, target in examples:
+    for padded, at, target in examples:
         step += 1
-        grad = net.gradient(context, target)
+        grad = net.gradient(padded, at, target)
         first += 0.1 * (grad - first)
         second += 0.001 * (grad * grad - second)
         net.flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-7)
@@ -281,8 +300,8 @@ def _symbols(column) -> list[np.ndarray]:
 
 
 def _weight_rows(batches, flat, classes):
-    examples = ((context, classes[own]) for b in batches if b.num_rows
-                for context, own in windows(_symbols(b.column(0)), BATCH))
+    examples = ((padded, at, classes[padded[at]]) for b in batches if b.num_rows
+                for padded, at in windows(_symbols(b.column(0)), BATCH))
     trained, seen = descend(flat.value, examples)
     if seen:
         yield pa.record_batch([pa.array(np.arange(PARAMETERS), pa.int32()),
@@ -313,11 +332,10 @@ def _score_rows(batches, classes, flat):
             continue
         texts = _symbols(b.column(1))
         # One more place, so that an empty text at the end has a start.
-        logs, at = np.zeros(sum(map(len, texts)) + 1), 0
-        for context, own in windows(texts, _WORDS):
-            _, found = net.forward(context)
-            logs[at:at + len(own)] = found[np.arange(len(own)), classes[own]]
-            at += len(own)
+        logs, done = np.zeros(sum(map(len, texts)) + 1), 0
+        for padded, at in windows(texts, _WORDS):
+            logs[done:done + len(at)] = net.log_probabilities(padded, at, classes[padded[at]])
+            done += len(at)
         sizes = np.array([len(t) for t in texts])
         starts = np.cumsum(sizes) - sizes
         sums = np.where(sizes > 0, np.add.reduceat(logs, starts) + b.column(2).to_numpy(), 0.0).round(6)

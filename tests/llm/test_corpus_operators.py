@@ -1,6 +1,7 @@
 """Operators over whole tables against brute force, and the pipeline."""
 
 import collections
+import math
 import random
 import re
 
@@ -175,6 +176,85 @@ def test_segmentation_and_verdicts(spark):
     assert verdict[1000] == "block" and {v for k, v in verdict.items() if k != 1000} == {"allow"}
 
 
+def test_path_names_are_segmented(spark):
+    rows = [(k, f"http://host{k % 7}.example.com/{'red-garden' if k % 2 else 'news'}/{k}", "<title>the garden</title>")
+            for k in range(400)]
+    rows += [(1000, "http://host1.example.com/freecasinobonus/1", None), (1001, "http://host1.example.com/redgarden/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, []).collect()}
+    assert verdict[1000] == "block" and {v for k, v in verdict.items() if k != 1000} == {"allow"}
+
+
+def test_split_words_against_all_splits():
+    rng = random.Random(4)
+    for _ in range(60):
+        counts = {"".join(rng.choices("ab", k=rng.randint(1, 4))): rng.randint(1, 50) for _ in range(6)}
+        run, total = "".join(rng.choices("ab", k=rng.randint(1, 9))), 200
+
+        def cost(words, counts=counts):
+            return sum(math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10)
+                       for w in words)
+        splits = []
+        for mask in range(1 << (len(run) - 1)):
+            ends = [k + 1 for k in range(len(run) - 1) if mask >> k & 1]
+            splits.append([run[i:j] for i, j in zip([0, *ends], [*ends, len(run)], strict=True)])
+        found = url_filter.split_words(run, counts, total)
+        assert "".join(found) == run and abs(cost(found) - max(map(cost, splits))) < 1e-9
+
+
+def test_verdicts_like_plain_bayes(spark):
+    """Word counts, splits and naive Bayes over all pages in plain code."""
+    sf = "/root/testdata/sf0.01"
+    pages = [(r["url"] or "", r["html"] or "") for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()]
+    rules, letters = queries.URL_RULES, r"[^\W\d_]+"
+    found = [re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u) for u, _ in pages]
+    hosts, paths = [m[1].lower() if m else "" for m in found], [m[2] if m else "" for m in found]
+    counts, single = collections.Counter(), collections.defaultdict(list)
+    for (_, html), host, path in zip(pages, hosts, paths, strict=True):
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title", html)
+        counts.update(re.findall(letters, title[1].lower()) if title else [])
+        counts.update(w for x in host.split(".") if "-" in x for w in re.findall(letters, x))
+        for name in path.split("/"):
+            words = re.findall(letters, name.lower())
+            counts.update(words if len(words) > 1 else [])
+            if len(words) == 1:
+                single[words[0]].append(host)
+    for w, at in single.items():
+        counts[w] += len(at) if len(set(at)) >= url_filter.COMMON_HOSTS else 0
+    counts = {w: n for w, n in counts.items() if n and len(w) <= url_filter.LONGEST_WORD}
+    usual = max(1, round(sum(counts.values()) / len(counts)))
+    total = sum(counts.values()) + usual * len(url_filter.SEEDS)
+    for s in url_filter.SEEDS:
+        counts[s] = counts.get(s, 0) + usual
+    tokens, classes = [], []
+    for host, path in zip(hosts, paths, strict=True):
+        runs = re.findall(letters, host) + re.findall(letters + "|0", re.sub(r"\d+", "0", path.lower()))
+        tokens.append([w for r in runs for w in url_filter.split_words(r, counts, total)])
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        classes.append(max(fits, key=lambda r: len(r.name)).action if fits else None)
+    n, by = collections.Counter(), {"block": collections.Counter(), "allow": collections.Counter()}
+    for ts, c in zip(tokens, classes, strict=True):
+        n.update(ts)
+        if c:
+            by[c].update(ts)
+    overall = {t: (n[t] + 0.5) / (sum(n.values()) + 0.5 * (len(n) + 1)) for t in n}
+
+    def odds(t):
+        def share(c):
+            return (by[c][t] + url_filter.SMOOTHING * overall[t]) / (sum(by[c].values()) + url_filter.SMOOTHING)
+        a, p = url_filter.ALL_SHARE, url_filter.SEED_PART
+        seed = (t in url_filter.SEEDS) / len(url_filter.SEEDS)
+        return math.log(((1 - a) * share("block") + a * (p * seed + (1 - p) * overall[t]))
+                        / ((1 - a) * share("allow") + a * overall[t]))
+    prior = math.log(url_filter.BLOCKED_PRIOR / (1 - url_filter.BLOCKED_PRIOR))
+    rows = queries.QUERIES["op4_url_filter"](spark, sf).orderBy("page_id").collect()
+    assert len(rows) == len(pages)
+    for r, ts, c, host, path in zip(rows, tokens, classes, hosts, paths, strict=True):
+        wanted = prior + sum(map(odds, ts))
+        assert (r["host"], r["path"]) == (host, path) and abs(r["odds"] - wanted) < 1e-6
+        assert r["verdict"] == (c or ("block" if r["odds"] > 0 else "allow"))
+
+
 # ---- chat ------------------------------------------------------------------
 
 def brute_viterbi(symbols, model):
@@ -271,13 +351,13 @@ def test_language_model_prefers_order(spark):
 def test_language_model_gradient_and_odd_rows(spark):
     rng = np.random.default_rng(0)
     net = masked_lm.Network()
-    context = rng.integers(0, masked_lm.SYMBOLS, (20, 2 * masked_lm.WINDOW))
+    texts = [rng.integers(0, masked_lm.EDGE, n).astype(np.uint16) for n in (9, 0, 11)]
+    (padded, at), = masked_lm.windows(texts, 20)
     target = rng.integers(0, masked_lm.CLASSES, 20)
-    grad = net.gradient(context, target)
+    grad = net.gradient(padded, at, target)
 
     def loss(flat):
-        logs = masked_lm.Network(flat).forward(context)[1]
-        return -logs[np.arange(20), target].mean()
+        return -masked_lm.Network(flat).log_probabilities(padded, at, target).mean()
     for k in rng.choice(np.flatnonzero(abs(grad) > 1e-3), 8):
         step = np.zeros_like(net.flat)
         step[k] = 1e-2
@@ -292,7 +372,7 @@ def test_language_model_gradient_and_odd_rows(spark):
 
 def plain_language_model(texts):
     """Counts, symbols and classes of all words by a plain pass."""
-    counts = collections.Counter(w for t in texts for w in masked_lm.words_of(t))
+    counts = collections.Counter(w for t in texts for w in masked_lm.words_of((t or "").encode()))
     order = sorted(counts, key=lambda w: (-counts[w], w))
     return counts, {w: k for k, w in enumerate(order[:masked_lm.SINGLE_SYMBOLS])}
 
@@ -300,7 +380,7 @@ def plain_language_model(texts):
 def test_language_model_counts_and_scores_like_plain_code(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("symbols", F.lit("x"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    monkeypatch.setattr(masked_lm, "PART_LETTERS", 20_000)
+    monkeypatch.setattr(masked_lm, "PART_BYTES", 20_000)
     vocab, flat = masked_lm.fit(docs)
     counts, single = plain_language_model(texts.values())
     table = {bytes(r["word"]): (r["n"], r["symbol"]) for r in vocab.table.collect()}
@@ -325,7 +405,7 @@ def test_language_model_counts_and_scores_like_plain_code(spark, monkeypatch):
     texts.update({-1: "never seen words zzzyx", -2: ""})
     net, edge = masked_lm.Network(flat), masked_lm.EDGE
     for r in rows:
-        words = masked_lm.words_of(texts[r["doc_id"]])
+        words = masked_lm.words_of((texts[r["doc_id"]] or "").encode())
         own = [table.get(w, (1, masked_lm.UNKNOWN)) for w in words]
         symbols, total = [s for _, s in own], 0.0
         for at, (n, s) in enumerate(own):
@@ -344,8 +424,9 @@ def test_language_model_trains_on_every_word_once():
     texts = [rng.integers(0, 900, n).astype(np.uint16) for n in (0, 1, 5, 0, 3000, 2, 0)]
     for size in (7, 1000, 10_000):
         found = list(masked_lm.windows(texts, size))
-        assert np.array_equal(np.concatenate([own for _, own in found]), np.concatenate(texts))
-        around = np.concatenate([c for c, _ in found])
+        assert all(len(at) <= size for _, at in found)
+        assert np.array_equal(np.concatenate([p[at] for p, at in found]), np.concatenate(texts))
+        around = np.concatenate([p[at[:, None] + [-3, -2, -1, 1, 2, 3]] for p, at in found])
         wanted = []
         for t in texts:
             wide = [masked_lm.EDGE] * 3 + t.tolist() + [masked_lm.EDGE] * 3
