@@ -71,6 +71,16 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Lower halves of the numbers, then the upper ones, which compress well."""
+    return np.concatenate([ids & 0xFFFF, ids >> 16]).astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(packed, np.uint16).reshape(2, -1).astype(np.uint32)
+    return high << 16 | low
+
+
 def _part_rows(batches):
     """Document rows (word numbers) and, after a part's documents, its word rows."""
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
@@ -96,7 +106,7 @@ def _part_rows(batches):
         def documents():
             grown = np.bincount(np.concatenate(held), minlength=len(numbers))
             grown[:len(tally)] += tally
-            return grown, rows([part] * len(ids), ids, [x.tobytes() for x in held], None, None, None)
+            return grown, rows([part] * len(ids), ids, [pack(x) for x in held], None, None, None)
 
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = text.as_py()
@@ -182,7 +192,7 @@ def encode(parts: DataFrame, vocab: Vocabulary) -> DataFrame:
         symbol, inside = np.empty(len(place), np.uint16), np.empty(len(place))
         symbol[place] = own = words.column("symbol").to_numpy()
         inside[place] = np.log(words.column("n").to_numpy()) - log_mass[own]
-        held = [np.frombuffer(x.as_py(), np.uint32) for x in docs.column("ids")]
+        held = [unpack(x.as_py()) for x in docs.column("ids")]
         return pa.table([docs.column("doc_id"), pa.array([symbol[x].tobytes() for x in held], pa.binary()),
                          pa.array([float(inside[x].sum()) for x in held], pa.float64())],
                         names=["doc_id", "symbols", "inside"])

@@ -435,6 +435,11 @@ def test_language_model_trains_on_every_word_once():
     assert list(masked_lm.windows([texts[0]], 7)) == []
 
 
+def test_word_numbers_pack_and_unpack():
+    for ids in ([], [0], [65535, 65536, 1 << 31, 7, (1 << 32) - 1]):
+        assert masked_lm.unpack(masked_lm.pack(np.array(ids, np.uint32))).tolist() == ids
+
+
 def test_language_model_one_pass_equals_fit_then_score(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     both = {r["doc_id"]: r for r in masked_lm.fit_and_score(docs).collect()}
