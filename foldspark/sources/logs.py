@@ -46,7 +46,8 @@ def render(metrics: DataFrame) -> DataFrame:
 
 
 def write_logs(metrics: DataFrame, path: str) -> None:
-    render(metrics).write.mode("overwrite").partitionBy("technique").text(path)
+    """Entries by technique, as compressed text: most of an entry is the template."""
+    render(metrics).write.mode("overwrite").option("compression", "lz4").partitionBy("technique").text(path)
 
 
 def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -1,10 +1,14 @@
 """Cases that only large inputs reach, made with few rows."""
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldspark.operators import hic
-from foldspark.schemas import CONTACTS
+from foldspark.schemas import CONTACTS, METRICS
+from foldspark.sources import logs
 
 
 def test_scaling_of_a_map_wider_than_an_int_can_square(spark):
@@ -16,3 +20,18 @@ def test_scaling_of_a_map_wider_than_an_int_can_square(spark):
         mean = sum(values) / n
         assert got[s]["mean"] == pytest.approx(mean, rel=1e-12)
         assert got[s]["std"] == pytest.approx(np.sqrt(sum(v * v for v in values) / n - mean ** 2), rel=1e-9)
+
+
+def test_logs_are_stored_compressed(spark, tmp_path):
+    runs = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, "PCA").otherwise("SVD").alias("technique"), F.lit("single").alias("method"),
+        F.lit("contact").alias("metric"), F.lit("vc").alias("norm"), (F.col("id") / 2000).alias("silhouette"),
+        F.col("id").cast("double").alias("ch"), (F.col("id") / 7).alias("db")).to(METRICS)
+    path = str(tmp_path / "logs")
+    logs.write_logs(runs, path)
+    stored = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
+    text = logs.render(runs).agg(F.sum(F.length("value"))).first()[0]
+    assert stored < text / 4
+    held = logs.scan(spark, path).filter(F.col("entry").contains(logs.MARKER))
+    assert {r["technique"]: r["count"] for r in held.groupBy("technique").count().collect()} == {"PCA": 667, "SVD": 1333}
+    assert logs.parse(held).count() == 2000
