@@ -3,12 +3,13 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foldspark.operators import hic
 from foldspark.schemas import CONTACTS, METRICS
-from foldspark.sources import logs
+from foldspark.sources import logs, matrices
 
 
 def test_scaling_of_a_map_wider_than_an_int_can_square(spark):
@@ -35,3 +36,17 @@ def test_logs_are_stored_compressed(spark, tmp_path):
     held = logs.scan(spark, path).filter(F.col("entry").contains(logs.MARKER))
     assert {r["technique"]: r["count"] for r in held.groupBy("technique").count().collect()} == {"PCA": 667, "SVD": 1333}
     assert logs.parse(held).count() == 2000
+
+
+def test_wide_matrix_lines_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(matrices, "HELD_CHARS", 20_000)
+    sparse = pa.record_batch([pa.array(range(50), pa.int32()), pa.array([[r] if r % 7 else None for r in range(50)]),
+                              pa.array([[r + 0.5] if r % 7 else None for r in range(50)])], names=["i", "j", "v"])
+    made = list(matrices._lines(1000)([sparse]))
+    assert max(sum(map(len, b.column("value").to_pylist())) for b in made) < 30_000
+    assert [i for b in made for i in b.column("i").to_pylist()] == list(range(50))
+    cells = np.array([[float(t) for t in line.split()] for b in made for line in b.column("value").to_pylist()])
+    want = np.zeros((50, 1000))
+    at = [r for r in range(50) if r % 7]
+    want[at, at] = np.array(at) + 0.5
+    assert np.array_equal(cells, want)
