@@ -82,6 +82,25 @@ def test_linkage_heights(spark, points, x, method, finish):
     assert all(max(r.a, r.b) < len(points) + r.step for r in z)
 
 
+@pytest.mark.parametrize("method", ["complete", "average", "weighted"])
+def test_linkage_without_a_table_of_row_pairs(spark, points, x, method, monkeypatch):
+    table, sizes = linkage._table_rounds, []
+
+    def watched(pairs, *rest):
+        sizes.append(pairs.count())
+        return table(pairs, *rest)
+    monkeypatch.setattr(linkage, "_table_rounds", watched)
+    monkeypatch.setattr(linkage, "TABLE_PAIRS", 1)
+    monkeypatch.setattr(linkage, "SMALL_TABLE", 0)
+    monkeypatch.setattr(linkage, "PIECE_ROWS", 3)  # clusters that lie in pieces occur
+    monkeypatch.setattr(pairwise, "TILE_ROWS", 16)
+    z = linkage.linkage(x, method, finish_below=4).orderBy("step").collect()
+    assert np.allclose([r.height for r in z], greedy(dist(points), method), atol=1e-9)
+    assert max(sizes) <= len(points)
+    used = [c for r in z for c in (r.a, r.b)]
+    assert sorted(used) == list(range(2 * len(points) - 2))
+
+
 def test_single_linkage_in_blocks(spark, x, monkeypatch):
     whole = linkage.linkage(x, "single").orderBy("step").collect()
     monkeypatch.setattr(linkage, "TREE_BLOCK", 12)
