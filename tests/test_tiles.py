@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from foldspark.operators import linkage, pairwise, spanning
+from foldspark.operators import density, layout, linkage, normalise, pairwise, spanning, spectral
 
 
 def tiles(near: float = 1.0, rows: int = 64):
@@ -64,3 +64,53 @@ def test_links_between_components_take_little_memory():
     assert {(p, q): t for p, q, *t in zip(*(out[c].tolist() for c in ("comp", "other", "d", "lo", "hi")),
                                           strict=True)} == {k: list(v) for k, v in want.items()}
     assert peak < 3 * d.nbytes
+
+
+def _points(rows=6, k=2):
+    rng = np.random.default_rng(11)
+    made = [pairwise.Tile(np.arange(rows) + rows * t, {
+        "y": rng.normal(size=rows * k), "u": rng.normal(size=rows * 3), "core": np.arange(rows) % 2,
+        "comp": np.arange(rows) + rows * t}) for t in range(2)]
+    return made, rng.random((rows, rows))
+
+
+def test_a_tile_pair_is_counted_for_both_its_tiles():
+    (a, b), d = _points()
+    out = density._within(0.5)(a, b, d)
+    assert out["row_id"].tolist() == list(range(12))
+    assert out["n"].tolist() == [*(d <= 0.5).sum(1), *(d <= 0.5).sum(0)]
+    low = density._border(0.5)(a, b, d)
+    want = {}
+    for p, q, m in ((a, b, d), (b, a, d.T)):
+        for i, j in zip(*np.nonzero((m <= 0.5) & (p.core == 0)[:, None] & (q.core == 1)[None, :])):
+            want[p.ids[i]] = min(want.get(p.ids[i], 99), q.comp[j])
+    assert dict(zip(low["row_id"], low["comp"])) == want
+
+
+def test_an_affinity_is_computed_once_for_both_tiles():
+    (a, b), d = _points()
+    out = spectral._product(1.0, 3)(a, b, d)
+    w = np.exp(-d * d)
+    got = np.column_stack([out[f"g{c}"] for c in range(3)])
+    assert np.allclose(got, np.concatenate([w @ b.u.reshape(-1, 3), w.T @ a.u.reshape(-1, 3)]))
+
+
+def test_a_move_is_computed_once_for_both_tiles():
+    (a, b), d = _points()
+    out = layout._guttman(2)(a, b, d)
+    diff = a.y.reshape(-1, 2)[:, None] - b.y.reshape(-1, 2)[None]
+    placed = np.sqrt((diff ** 2).sum(2))
+    move = (d / placed)[:, :, None] * diff
+    got = np.column_stack([out["g0"], out["g1"]])
+    assert np.allclose(got, np.concatenate([move.sum(1), -move.sum(0)]))
+    assert np.allclose(out["stress"], [*((placed - d) ** 2).sum(1), *((placed - d) ** 2).sum(0)])
+
+
+def test_balancing_many_frames_holds_little_beside_them():
+    m = np.random.default_rng(2).random((4000, 14, 14)) + 0.1
+    tracemalloc.start()
+    out = normalise.balance(m, 3, 1e-5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.6 * m.nbytes
+    assert np.array_equal(out[7], normalise.balance(m[7:8], 3, 1e-5, False)[0])
