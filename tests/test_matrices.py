@@ -185,6 +185,25 @@ def test_chunks_follow_row_order(spark):
     assert np.allclose(got, want, atol=1e-12)
 
 
+def test_chunks_need_no_table_of_cells(spark, monkeypatch):
+    def refused(*args, **options):
+        raise AssertionError("whole frames hold all that chunks need")
+    monkeypatch.setattr(fm, "normalised_cells", refused)
+    frames = random_frames(6, (4, 3, 4, 4, 2))
+    x = fm.feature_matrix(make_beads(spark, frames), ["A", "B"], prep="average", chunks=2)
+    raw = np.zeros((len(frames), 6))
+    for r, k in enumerate(sorted(frames)):
+        n = len(frames[k])
+        i, j = np.triu_indices(n, 1)
+        d = np.sqrt(((frames[k][:, None] - frames[k][None]) ** 2).sum(-1))
+        raw[r, i * 4 - i * (i + 1) // 2 + (j - i - 1)] = d[i, j]
+    size = max(1, len(raw) // 2)
+    want = np.concatenate([(p - p.min()) / (p.max() - p.min()) for p in
+                           (raw[at:at + size] for at in range(0, len(raw), size))])
+    got = np.array([r.v for r in x.orderBy("row_id").collect()])
+    assert np.allclose(got, want, atol=1e-12)
+
+
 def test_constant_and_single_bead_frames(spark):
     one = {("A", 1, 0): np.zeros((1, 3)), ("A", 1, 1): np.ones((3, 3))}
     x = fm.feature_matrix(make_beads(spark, one), ["A"])
