@@ -320,6 +320,31 @@ def test_tsne_descends_like_exact_rounds(spark, x):
     assert kl < plain_tsne(weights, start, 300)[1] * 1.1 + 0.02
 
 
+def jobs_of(spark, name, run):
+    """The result, and the number of Spark jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_a_tsne_round_between_blocks_is_one_job(spark, x, monkeypatch):
+    """One job a round, and one more where the states are stored; storing them changes nothing."""
+    p = layout.cut(layout.joint_p(layout.conditional_p(x, 5.0), 42))
+    start = layout._start(x.select("row_id"), 2, 0, 1e-4)
+
+    def positions(rounds, **blocks):
+        y = layout.grid_layout(start, p, 42, 2, rounds, 12.0, **blocks)
+        return np.array([r.y for r in y.orderBy("row_id").collect()])
+    monkeypatch.setattr(tsne, "SETTLE", 3, raising=False)
+    _, few = jobs_of(spark, "few", lambda: positions(2, block_rows=9))
+    many, jobs = jobs_of(spark, "many", lambda: positions(9, block_rows=9))
+    assert jobs - few <= 2 * 7
+    assert np.allclose(many, positions(9), rtol=1e-6, atol=1e-9)
+
+
 def test_spectral(spark, points, x):
     emb, values = spectral.spectral_embedding(x, 2, 1.0, rounds=12, settled=False)
     w = np.exp(-dist(points) ** 2)
