@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows_frame
 from foldspark import session
 from foldspark.operators import (density, evaluate, graph, kmeans, krylov, layout, linkage, model, pairwise,
-                                 reduce, spanning, spectral, tsne)
+                                 reduce, spanning, spectral, tsne, umap)
 from foldspark.plans import analysis
 from test_matrices import make_beads, random_frames
 
@@ -345,6 +345,52 @@ def test_a_tsne_round_between_blocks_is_one_job(spark, x, monkeypatch):
     assert np.allclose(many, positions(9), rtol=1e-6, atol=1e-9)
 
 
+def plain_umap(spark, links, y, times, n_epochs, negatives=5):
+    """Epochs over every link and its draws, one at a time; ``y`` and the number of rows by id."""
+    n, links = sum(times.values()), list(links)
+    for epoch in range(n_epochs):
+        ends = spark.createDataFrame([(a, b, m) for a, b, _ in links for m in range(1, negatives + 1)],
+                                     "a long, b long, m int").select(
+            F.pmod(F.xxhash64("a", "b", "m", F.lit(0), F.lit(epoch)), F.lit(n)).alias("t")).toPandas()["t"]
+        ends = ends.to_numpy().reshape(len(links), negatives)
+        move = {r: np.zeros(2) for r in y}
+        for (a, b, w), drawn in zip(links, ends):
+            for t in (b, *drawn):
+                if t == a or t not in y:
+                    continue
+                diff = y[a] - y[t]
+                sq = (diff ** 2).sum()
+                power = sq ** umap.CURVE_B
+                if t is b:
+                    coef = -2 * umap.CURVE_A * umap.CURVE_B * power / sq / (1 + umap.CURVE_A * power) if sq else 0.0
+                else:
+                    coef = 2 * umap.CURVE_B / ((0.001 + sq) * (1 + umap.CURVE_A * power))
+                move[a] += times[a] * times[t] * np.clip(coef * w * diff, -4, 4)
+        y = {r: y[r] + (1 - epoch / n_epochs) * move[r] for r in y}
+    return y
+
+
+def test_umap_epochs_over_blocks(spark, points, monkeypatch):
+    """Every link and every draw counts, ids with gaps and rows that are there twice
+    included, and an epoch takes less than two jobs."""
+    monkeypatch.setattr(umap, "LEAST_ROWS", 9)
+    for ids in (range(42), [*range(20), 30, 31, 31, *range(33, 52)]):
+        x = rows_frame(spark, points[:42]).join(
+            spark.createDataFrame(list(enumerate(ids)), "row_id long, id long"), "row_id").select(
+            F.col("id").alias("row_id"), "v")
+        times = {r: list(ids).count(r) for r in ids}
+        start = {r.row_id: np.array(r.y) for r in layout._start(x.select("row_id"), 2, 0, 20.0).collect()}
+        (y, graph), _ = jobs_of(spark, "first", lambda: layout.umap(x, 2, 6, n_epochs=7))
+        edges = graph.collect()
+        top = max(r.w for r in edges)
+        links = [e for r in edges for e in ((r.i, r.j, r.w / top), (r.j, r.i, r.w / top))]
+        want, got = plain_umap(spark, links, start, times, 7), y.collect()
+        assert sorted(r.row_id for r in got) == sorted(ids)
+        assert max(np.abs(np.array(r.y) - want[r.row_id]).max() for r in got) < 1e-7
+    runs = [jobs_of(spark, f"umap {e}", lambda: layout.umap(x, 2, 6, n_epochs=e))[1] for e in (2, 12)]
+    assert runs[1] - runs[0] < 2 * 10
+
+
 def test_spectral(spark, points, x):
     emb, values = spectral.spectral_embedding(x, 2, 1.0, rounds=12, settled=False)
     w = np.exp(-dist(points) ** 2)
