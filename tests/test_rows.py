@@ -421,6 +421,76 @@ def test_sweep_scores_each_setting(spark):
     assert all(-1 <= r.silhouette <= 1 for r in out)
 
 
+def _stored_columns(folder):
+    """Columns of every stored table by its folder."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+    return {os.path.dirname(f): set(pq.read_schema(f).names) for f in glob.glob(f"{folder}/**/*.parquet", recursive=True)}
+
+
+def test_settings_of_a_sweep_run_side_by_side_and_leave_no_x(spark, monkeypatch):
+    """No setting gets past the meeting alone; its X is deleted after it."""
+    import threading
+
+    meeting, build = threading.Barrier(2), analysis.feature_matrix
+
+    def met(*args, **options):
+        meeting.wait(60)
+        return build(*args, **options)
+    monkeypatch.setattr(analysis, "feature_matrix", met)
+    beads = make_beads(spark, random_frames(4, (4,) * 12))
+    before = _stored_columns(session.shared_dir(spark))
+    out = analysis.sweep(beads, ["A", "B"], ["euclidean"], ["vc", None], ["weighted"], ["svd", "pca"], n_clusters=2,
+                         n_iterations=1)
+    # in the order of the grid
+    assert [(r.norm, r.technique) for r in out.collect()] == [
+        (norm, method) for norm in ("vc", "none") for method in ("svd", "pca")]
+    left = [c for folder, c in _stored_columns(session.shared_dir(spark)).items() if folder not in before]
+    assert left and not any("v" in c for c in left)
+
+
+def test_a_sweep_stops_at_a_setting_that_fails(spark):
+    beads = make_beads(spark, random_frames(4, (4,) * 12))
+    with pytest.raises(KeyError, match="unknown norm"):
+        analysis.sweep(beads, ["A", "B"], ["euclidean"], ["other", None], ["weighted"], ["svd"], n_clusters=2)
+
+
+def test_mds_leaves_only_positions(spark, x):
+    before = _stored_columns(session.shared_dir(spark))
+    layout.mds(x, 2)
+    after = _stored_columns(session.shared_dir(spark))
+    assert [c for folder, c in after.items() if folder not in before] == [{"row_id", "y"}]
+
+
+def test_divergence_sums_each_pair_of_tiles_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    y, p = rng.normal(size=(70, 2)), rng.random((70, 70))
+    np.fill_diagonal(p, 0.0)
+    p = (p + p.T) / (p + p.T).sum()
+    calls, reduce_pairs = [], layout.pair_reduce
+    monkeypatch.setattr(layout, "pair_reduce", lambda x, kernel, schema, *args, **options: (
+        calls.append((schema, options.get("both"))), reduce_pairs(x, kernel, schema, *args, **options))[1])
+    found = layout.divergence_of(
+        spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(y)], "row_id long, y array<double>"),
+        spark.createDataFrame([(i, j, float(p[i, j])) for i in range(70) for j in range(70) if i != j],
+                              "a long, b long, p double"), (70, 2))
+    q = 1.0 / (1.0 + dist(y) ** 2)
+    np.fill_diagonal(q, 0.0)
+    q /= q.sum()
+    some = p > 0
+    assert np.isclose(found, (p[some] * np.log(p[some] / q[some])).sum())
+    assert calls == [("row_id long, z double", True)]
+
+
+def test_squares_of_narrow_rows_lose_no_digits():
+    rng = np.random.default_rng(9)
+    a, b = 1000.0 + rng.random((50, 2)), 1060.0 + rng.random((40, 2))
+    want = ((a[:, None] - b[None]) ** 2).sum(2)
+    assert np.abs(pairwise._block_squares(a, b) / want - 1.0).max() < 1e-15
+
+
 def test_linkage_leaves_only_its_result(spark, tmp_path):
     import os
 
