@@ -11,9 +11,11 @@ A query orders the cells by the least distance that the triangle inequality
 allows and first looks into one block each of the nearest cells, until it has
 seen ``FIRST_LOOK`` vectors. Its k-th score there bounds the distance that
 matters, and it then visits just the blocks of cells that may hold a score as
-high. Blocks and packed queries meet in a join, and only scores that reach the
-bound leave a block, so no task or driver holds more than a block, a batch of
-queries and the cell directory.
+high. Up to ``GROUP`` neighbouring blocks and a batch of queries meet in a join,
+each vector as its narrowest integers; only scores that reach the bound leave a
+block, so no task or driver holds more than a group, a batch of queries and the
+cell directory. Visits grow with queries times groups and the planner can't see
+that, so the join is told not to broadcast them.
 
 Pivots are fitted on a bounded sample (``FIT_ROWS`` vectors of lowest hash);
 every vector is indexed. The directory has at most ``MOST_PIVOTS`` times
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from foldspark.session import cut
 
 BLOCK = 512
-QUERIES = 512
+QUERIES = 1024
+GROUP, GROUP_BYTES = 8, 1 << 22
 FIRST_LOOK = 1024
 FIT_ROWS = 4096
 MOST_PIVOTS, MOST_RINGS = 256, 256
@@ -65,12 +68,27 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows of ``a`` with all of ``b``."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if most < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _narrowest(low: int, high: int) -> str:
+    """The narrowest integers that hold ``low`` to ``high``."""
+    return next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    data = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (data.itemsize * data.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
+
+
+def _multipliable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as float64 where that gives exact products of all their rows, else as int64."""
+    most = [max(-int(m.min(initial=0)), int(m.max(initial=0))) for m in (a, b)]
+    kind = np.float64 if most[0] * most[1] * max(a.shape[1], 1) < 1 << 53 else np.int64
+    return a.astype(kind), b.astype(kind)
 
 
 def _lengthened(v: np.ndarray, norm2: float) -> np.ndarray:
@@ -109,6 +127,8 @@ class Directory:
         self.low, self.high = (np.array([c[k] for c in cells]) for k in (2, 3))
         self.count = np.array([c[4] for c in cells], dtype=np.int64)
         self.blocks = -(-self.count // BLOCK)
+        # blocks are numbered through, so that neighbours share a group
+        self.start = np.cumsum(self.blocks) - self.blocks
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Least possible distance of each query to each cell."""
@@ -128,42 +148,52 @@ class Directory:
         return out
 
 
-def _assign(batches, pivots: np.ndarray, norm2: float, width: int):
+def _assign(batches, pivots: np.ndarray, norm2: float, width: int, kind: str):
     for b in batches:
-        d = _distances(_lengthened(_matrix(b.column("v"), width), norm2), pivots)
+        rows = _matrix(b.column("v"), width)
+        d = _distances(_lengthened(rows, norm2), pivots)
         own = d.argmin(axis=1)
-        yield pa.record_batch([b.column("id"), b.column("v"), pa.array(own, pa.int32()),
+        yield pa.record_batch([b.column("id"), _packed(rows.astype(kind)), pa.array(own, pa.int32()),
                                pa.array(d[np.arange(len(own)), own], pa.float64())],
                               names=["id", "v", "pivot", "d"])
 
 
-_VISITS = "pivot int, ring int, block long, query_ids array<long>, queries array<long>, least array<long>"
+_VISITS = "team long, query_ids array<long>, queries binary, least array<long>, masks array<long>"
 
 
-def _visits(batches, directory: Directory, norm2: float, width: int, again: bool):
-    """For each block that some of a batch's queries visit, those queries with
-    the least score that matters to them."""
+def _visits(batches, directory: Directory, norm2: float, width: int, kind: str, group: int, again: bool):
+    """For each group of blocks that some of a batch's queries visit, those queries
+    with the least score that matters to them and a mask of the blocks they visit."""
+    first_block = directory.start
+    last_block = directory.start + directory.blocks - 1
+    teams = int(last_block[-1]) // group + 1
     for b in batches:
         for k in range(b.num_rows):
-            ids = np.array(b.column("query_ids")[k].as_py(), dtype=np.int64)
-            queries = np.array(b.column("queries")[k].as_py(), dtype=np.int64).reshape(len(ids), width)
-            least = np.array(b.column("least")[k].as_py(), dtype=np.int64)
+            ids = b.column("query_ids")[k].values.to_numpy(zero_copy_only=False)
+            queries = b.column("queries")[k].values.to_numpy(zero_copy_only=False).reshape(len(ids), width)
+            least = b.column("least")[k].values.to_numpy(zero_copy_only=False)
             bounds = directory.bounds(queries)
-            first = directory.first(bounds)
-            squares = (queries.astype(np.float64) ** 2).sum(axis=1)
             if again:
+                squares = (queries.astype(np.float64) ** 2).sum(axis=1)
                 reach = np.maximum(squares + norm2 - 2.0 * least.astype(np.float64), 0.0)
                 reach = np.sqrt(reach * (1 + _MARGIN)) + _MARGIN * math.sqrt(norm2 + 1)
-                open_ = bounds <= reach[:, None]
-            rows = []
-            for c, (pivot, ring) in enumerate(directory.keys):
-                visits = {0: first[:, c]}
-                if again:
-                    visits[0] = open_[:, c] & ~first[:, c]
-                    visits |= dict.fromkeys(range(1, int(directory.blocks[c])), open_[:, c])
-                rows += [(pivot, ring, block, ids[at], queries[at].ravel(), least[at])
-                         for block, at in visits.items() if at.any()]
-                if len(rows) >= 64:
+                visited = bounds <= reach[:, None]
+            else:
+                visited = directory.first(bounds)
+            queries, rows = queries.astype(kind), []
+            for team in range(teams):
+                low, high = team * group, team * group + group - 1
+                masks = np.zeros(len(ids), dtype=np.int64)
+                for c in range(int(np.searchsorted(last_block, low)), len(first_block)):
+                    if first_block[c] > high:
+                        break
+                    ends = (first_block[c], last_block[c] if again else first_block[c])
+                    blocks = sum(1 << at - low for at in range(max(ends[0], low), min(ends[1], high) + 1))
+                    masks[visited[:, c]] |= blocks
+                at = masks != 0
+                if at.any():
+                    rows.append((team, ids[at], queries[at].tobytes(), least[at], masks[at]))
+                if len(rows) >= 16:
                     yield _batch(rows)
                     rows = []
             if rows:
@@ -172,31 +202,58 @@ def _visits(batches, directory: Directory, norm2: float, width: int, again: bool
 
 def _batch(rows) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.list_(pa.int64())] * 3
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                           names=["pivot", "ring", "block", "query_ids", "queries", "least"])
+                           names=["team", "query_ids", "queries", "least", "masks"])
 
 
 _HITS = "query_id long, vec_id long, score long"
 
 
-def _hits(batches, width: int, k: int):
+def _best(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the k highest scores of each row that reach its least one, ties to the
+    column further left."""
+    fit = scores >= least[:, None]
+    many = np.flatnonzero(np.count_nonzero(fit, axis=1) > k)
+    if len(many):
+        kth = np.partition(scores[many], scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        fit[many] &= scores[many] >= kth[:, None]
+    i, j = np.divmod(np.flatnonzero(fit), scores.shape[1])
+    order = np.lexsort((j, -scores[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k]
+
+
+def _hits(batches, width: int, kind: str, group: int, k: int):
     """The k best scores of each query in a block, as far as they matter."""
     for b in batches:
         for row in range(b.num_rows):
-            ids, vectors, query_ids, queries, least = (
-                b.column(c)[row].values.to_numpy(zero_copy_only=False)
-                for c in ("ids", "vectors", "query_ids", "queries", "least"))
-            scores = _products(queries.reshape(-1, width), vectors.reshape(-1, width))
-            order = np.argsort(ids, kind="stable")
+            entries = b.column("entries")[row].values
+            block, ids = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("block", "id"))
+            query_ids, least, masks = (b.column(c)[row].values.to_numpy(zero_copy_only=False)
+                                       for c in ("query_ids", "least", "masks"))
+            queries = np.frombuffer(b.column("queries")[row].as_py(), dtype=kind).reshape(-1, width)
+            queries, vectors = _multipliable(queries, _unpacked(entries.field("v"), kind, width))
+            # a row's own id never counts
+            never = -np.inf if vectors.dtype == np.float64 else np.iinfo(np.int64).min
+            order = np.lexsort((ids, block))
+            ends = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
             out = []
-            for q, mine in enumerate(scores[:, order]):
-                fit = np.flatnonzero((mine >= least[q]) & (ids[order] != query_ids[q]))
-                best = fit[np.argsort(-mine[fit], kind="stable")[:k]]
-                out += [(query_ids[q], i, s) for i, s in zip(ids[order][best], mine[best], strict=True)]
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.record_batch([pa.array(np.array(c, dtype=np.int64)) for c in columns],
-                                  names=["query_id", "vec_id", "score"])
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                own = order[start:end]
+                at = np.flatnonzero(masks >> (block[own[0]] % group) & 1)
+                if not len(at):
+                    continue
+                scores = queries[at] @ vectors[own].T
+                # ids stand in order
+                left, right = (np.searchsorted(ids[own], query_ids[at], side) for side in ("left", "right"))
+                for q in np.flatnonzero(left < right):
+                    scores[q, left[q]:right[q]] = never
+                i, j = _best(scores, least[at], k)
+                out.append((query_ids[at[i]], ids[own[j]], scores[i, j].astype(np.int64)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
+            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -212,17 +269,20 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     vectors = cut(vectors)
     square = F.aggregate(F.transform("v", lambda c: c.cast("double")), F.lit(0.0), lambda a, c: a + c * c)
     facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"),
-                        F.max(square).alias("norm2"),
+                        F.max(square).alias("norm2"), F.min(F.array_min("v")).alias("low"),
+                        F.max(F.array_max("v")).alias("high"),
                         F.count(F.when(is_query, 1)).alias("queries")).first()
     n, width, norm2 = facts["n"], max(facts["width"] or 0, 1), facts["norm2"]
     if not facts["queries"]:
         return none
+    kind = _narrowest(min(facts["low"] or 0, 0), max(facts["high"] or 0, 0))
+    group = max(1, min(GROUP, GROUP_BYTES // (BLOCK * width * np.dtype(kind).itemsize)))
     per_side = math.ceil(math.sqrt(n / BLOCK))
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow().column("v").combine_chunks()
     pivots = choose_pivots(_lengthened(_matrix(sample, width), norm2), min(MOST_PIVOTS, per_side))
 
-    keyed = cut(vectors.mapInArrow(lambda b: _assign(b, pivots, norm2, width),
-                                   "id long, v array<long>, pivot int, d double"))
+    keyed = cut(vectors.mapInArrow(lambda b: _assign(b, pivots, norm2, width, kind),
+                                   "id long, v binary, pivot int, d double"))
     rings = min(MOST_RINGS, max(1, math.ceil(n / BLOCK / len(pivots))))
     at = F.array(*(F.lit(q / rings) for q in range(1, rings))).cast("array<double>")
     # One row per pivot, and below one per cell: both have documented bounds.
@@ -232,14 +292,15 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         "ring", F.size(F.filter("edges", lambda e: e < F.col("d")))).drop("edges")
     directory = Directory(pivots, [tuple(r) for r in celled.groupBy("pivot", "ring").agg(
         F.min("d"), F.max("d"), F.count(F.lit(1))).orderBy("pivot", "ring").collect()])
-    sizes = spark.createDataFrame([(*c, b) for c, b in zip(
-        directory.keys, directory.blocks.tolist(), strict=True)], "pivot int, ring int, blocks long")
-    padded = F.slice(F.concat("v", F.array_repeat(F.lit(0).cast("long"), width)), 1, width)
+    sizes = spark.createDataFrame([(*c, b, at) for c, b, at in zip(
+        directory.keys, directory.blocks.tolist(), directory.start.tolist(), strict=True)],
+        "pivot int, ring int, blocks long, start long")
     blocks = cut(celled.join(F.broadcast(sizes), ["pivot", "ring"])
-                 .withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")))
-                 .groupBy("pivot", "ring", "block").agg(
-                     F.collect_list("id").alias("ids"), F.flatten(F.collect_list(padded)).alias("vectors")))
+                 .withColumn("block", F.col("start") + F.pmod(F.xxhash64("id", "v"), F.col("blocks")))
+                 .groupBy(F.floor(F.col("block") / group).alias("team"))
+                 .agg(F.collect_list(F.struct("block", "id", "v")).alias("entries")))
 
+    padded = F.slice(F.concat("v", F.array_repeat(F.lit(0).cast("long"), width)), 1, width)
     asked = vectors.filter(is_query).groupBy("id").agg(F.min(padded).alias("v"))
     batches = math.ceil(facts["queries"] / QUERIES)
     lowest = -(1 << 62)
@@ -249,13 +310,11 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
             F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("queries"),
             F.collect_list("least").alias("least"))
         visits = packed.select("query_ids", "queries", "least").mapInArrow(
-            lambda b: _visits(b, directory, norm2, width, again), _VISITS)
-        met = visits.join(blocks, ["pivot", "ring", "block"]).select(
-            "ids", "vectors", "query_ids", "queries", "least")
-        return met.mapInArrow(lambda b: _hits(b, width, k), _HITS)
+            lambda b: _visits(b, directory, norm2, width, kind, group, again), _VISITS)
+        met = visits.join(blocks.hint("merge"), "team").select("entries", "query_ids", "queries", "least", "masks")
+        return met.mapInArrow(lambda b: _hits(b, width, kind, group, k), _HITS)
 
     first = cut(_ranked(visit(asked.withColumn("least", F.lit(lowest)), False), k))
     bound = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("found"))
     bounded = asked.join(bound, "id", "left").select("id", "v", F.coalesce("found", F.lit(lowest)).alias("least"))
-    hits = first.select("query_id", "vec_id", "score").unionByName(visit(bounded, True))
-    return _ranked(hits, k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(visit(bounded, True), k).select("query_id", "rank", "vec_id", "score")

@@ -144,6 +144,53 @@ def test_topk_against_brute_force(spark):
     assert topk.search(few.limit(0), F.col("id") % 50 == 0, 5).count() == 0
 
 
+def test_topk_never_broadcasts_its_visits(spark):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(0, 1, (12000, 16)).tolist())],
+                                  "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # room for the queries, not for the blocks
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        found = topk.search(topk.integer_vectors(table, "vec_id", "embedding", 256), F.col("id") % 50 == 0, 5)
+        found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above = []  # operators over a line of the plan, by depth
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*|"))
+        above = [(d, x) for d, x in above if d < depth] + [(depth, line)]
+        if "MapInArrow" in line:
+            assert not any("BroadcastExchange" in x for _, x in above[:-1])
+    assert "MapInArrow" in plan
+
+
+def test_topk_best_cells_and_integer_kinds():
+    rng = np.random.default_rng(7)
+    scores = rng.integers(0, 12, (50, 40)).astype(np.float64)
+    least = rng.integers(0, 14, 50)
+    scores[3, :38] = -np.inf
+    i, j = topk._best(scores, least, 5)
+    for q in range(50):
+        fit = sorted((-s, c) for c, s in enumerate(scores[q].tolist()) if s >= least[q])
+        assert j[i == q].tolist() == [c for _, c in fit[:5]]
+    assert [topk._narrowest(*r) for r in ((-128, 0), (0, 128), (-(1 << 15) - 1, 0), (0, 1 << 31))] == ["<i1", "<i2", "<i4", "<i8"]
+
+
+def test_topk_with_components_of_64_bits(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-(1 << 33), 1 << 33, (1200, 3)) >> rng.integers(0, 30, (1200, 1))
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "id long, v array<long>")
+    got = collections.defaultdict(list)
+    for r in topk.search(table, F.col("id") % 400 == 0, 3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    with np.errstate(over="ignore"):
+        for q in (0, 400, 800):
+            scores = (vectors @ vectors[q]).tolist()
+            assert got[q] == sorted((-s, k) for k, s in enumerate(scores) if k != q)[:3]
+
+
 # ---- URL filter ------------------------------------------------------------
 
 def test_urls_are_cut_and_ruled(spark):
