@@ -1,5 +1,7 @@
 """Row-pair operators, clustering and reductions against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -604,3 +606,47 @@ def test_reduction_of_low_rank_and_of_nothing(spark):
     assert [r["e"] for r in same.embed.collect()] == [[]] * 6
     empty = reduce.pca(rows_frame(spark, np.ones((1, 4))).filter("row_id > 5"), 2)
     assert empty.embed.count() == empty.spectrum.count() == 0
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before, kept = shuffles(), session.Rounds(spark)
+    counted = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    stored = session.cut(counted), kept.keep("t", counted)
+    for _ in range(50):  # they go a moment later
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert [t.count() for t in stored] == [700, 700]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_super_blocks_grow_with_the_rows_and_are_dealt_out_evenly(spark):
+    assert pairwise.side_of(601, 6, 64) == 60 and pairwise.side_of(601, 6) == 8 and pairwise.side_of(11, 6, 64) == 2
+    rng = np.random.default_rng(21)
+    x = rows_frame(spark, rng.normal(0, 1, (300, 4)))
+    one = pairwise.pair_reduce(x, lambda a, b, d: {"n": np.array([len(a.ids) * len(b.ids)])}, "n long", tile_rows=16,
+                               side=2)
+    # ten sides of two tiles: 55 super-blocks, each its own task
+    by_task = one.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n"))
+    assert by_task.agg(F.sum("n")).first()[0] == 300 * 300
+    sides = -(-pairwise.tile_count(300, spark.sparkContext.defaultParallelism, 16) // 2)
+    assert by_task.count() == sides * (sides + 1) // 2
+
+
+def test_squares_are_exact_in_strips_and_in_given_room():
+    rng = np.random.default_rng(22)
+    a, b = rng.normal(0, 1, (300, 7)), rng.normal(0, 1, (170, 7))
+    b[5], b[9] = a[140], a[299] + 1e-9
+    room = np.full(300 * 170 + 11, np.nan)
+    want = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
+    for given in (None, room, room[:10]):
+        got = pairwise._block_squares(a, b, given)
+        assert np.allclose(got, want, rtol=1e-12, atol=0) and got[140, 5] == 0.0
+    assert pairwise._block_squares(a, b[:0]).shape == (300, 0)
+    whole = pairwise._block_squares(a, a)
+    assert (whole == whole.T).all()
